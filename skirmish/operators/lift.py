@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.config import EPS
 from skirmish.functions.stats import add, binom_var, capped_rate
-from skirmish.operators.counts import STRATA, gx, gxy, gy, tot, total_n
+from skirmish.operators.counts import STRATA, gy, tot, total_n
 
 
 def _prefixed(margin: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return margin.select(*keys, *[F.col(f"{m}{s}").alias(f"{prefix}_{m}{s}") for s in STRATA for m in ("n", "w")])
 
 
-def cells(counts: DataFrame, level: str, min_buy_share: float = 0.0, min_ctx: float = 0.0) -> DataFrame:
-    """One wide row per (bucket, role, hero, ctx, y) that occurred, with all four margins per stratum.
+def cells(counts: DataFrame, levels: Sequence[str], min_buy_share: float = 0.0, min_ctx: dict[str, float] | None = None) -> DataFrame:
+    """One wide row per (level, bucket, role, hero, ctx, y) that occurred, with all margins per stratum.
 
-    Only the pair table is large; the three margins it joins are smaller by a factor of the item or
-    context count, so the planner broadcasts them when their measured size allows it.
+    All levels go through one job. Only the pair table is large; the three margins it joins are
+    smaller by a factor of the item or context count, so the planner broadcasts them when their
+    measured size allows it.
     """
     who = ["bucket", "role", "hero"]
     t = _prefixed(tot(counts), "t", who).withColumn("t_n", total_n("t_n"))
     y = _prefixed(gy(counts), "y", [*who, "y"]).withColumn("y_n", total_n("y_n"))
     y = y.join(t, who).where(F.col("y_n") >= F.lit(float(min_buy_share)) * F.col("t_n"))
-    x = _prefixed(gx(counts, level), "x", [*who, "ctx"]).withColumn("x_n", total_n("x_n"))
-    if min_ctx > 0:
-        x = x.where(F.col("x_n") >= float(min_ctx))
-    pairs = _prefixed(gxy(counts, level), "p", [*who, "ctx", "y"])
-    return pairs.join(x, [*who, "ctx"]).join(y, [*who, "y"])
+    wanted = counts.where(F.col("level").isin(*levels))
+    x = _prefixed(wanted.where(F.col("y").isNull()), "x", ["level", *who, "ctx"]).withColumn("x_n", total_n("x_n"))
+    for level, floor in (min_ctx or {}).items():
+        x = x.where((F.col("level") != level) | (F.col("x_n") >= float(floor)))
+    pairs = _prefixed(wanted.where(F.col("y").isNotNull()), "p", ["level", *who, "ctx", "y"])
+    return pairs.join(x, ["level", *who, "ctx"]).join(y, [*who, "y"])
 
 
 def _snap(value: Column) -> Column:
@@ -78,7 +82,7 @@ def _stratified(metric: str) -> tuple[Column, Column]:
 
 
 def metrics(cell_rows: DataFrame) -> DataFrame:
-    """(bucket, role, hero, ctx, y; lift_a, var_a, diff_b, var_b, games)."""
+    """(level, bucket, role, hero, ctx, y; lift_a, var_a, diff_b, var_b, games)."""
     parts: dict[str, Column] = {}
     for s in STRATA:
         parts |= _stratum(s)
@@ -90,10 +94,16 @@ def metrics(cell_rows: DataFrame) -> DataFrame:
     a, va = _stratified("a")
     b, vb = _stratified("b")
     return out.select(
-        "bucket", "role", "hero", "ctx", "y",
+        "level", "bucket", "role", "hero", "ctx", "y",
         a.alias("lift_a"), va.alias("var_a"), b.alias("diff_b"), vb.alias("var_b"), F.col("x_n").alias("games"),
     )
 
 
+def metrics_of_levels(
+    counts: DataFrame, levels: Sequence[str], min_buy_share: float = 0.0, min_ctx: dict[str, float] | None = None
+) -> DataFrame:
+    return metrics(cells(counts, levels, min_buy_share, min_ctx))
+
+
 def level_metrics(counts: DataFrame, level: str, min_buy_share: float = 0.0, min_ctx: float = 0.0) -> DataFrame:
-    return metrics(cells(counts, level, min_buy_share, min_ctx))
+    return metrics_of_levels(counts, (level,), min_buy_share, {level: min_ctx}).drop("level")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from skirmish.operators import counts as cnt
 from skirmish.operators import heroes as hero_ops
 from skirmish.operators import shrink
 from skirmish.operators.dims import ItemModel
-from skirmish.operators.lift import level_metrics
+from skirmish.operators.lift import metrics_of_levels
 from skirmish.plans import prepare
 from skirmish.session import settle_dim, stage
 
@@ -37,6 +38,12 @@ def drop_items(counts: DataFrame, dropped: DataFrame) -> DataFrame:
     return counts.join(gone, "y", "left_anti").select(*counts.columns)
 
 
+ALL_TABLES = (
+    "item", "item_hero", "hero", "ally", "item_class", "hero_class", "roles", "late", "matchups", "buys", "buy_share",
+    "classes", "components", "team_items", "facts",
+)
+
+
 def finish(
     counts: DataFrame,
     comp: DataFrame,
@@ -44,37 +51,51 @@ def finish(
     facts: DataFrame,
     model: ItemModel,
     cfg: Config,
+    tables: Sequence[str] = ALL_TABLES,
 ) -> Recommendations:
-    """Common tail of the full and the incremental job; ``counts`` are staged hero sums."""
+    """Common tail of the full and the incremental job; ``counts`` are staged hero sums.
+
+    Metrics of all levels are one job, metrics of the classes another; each level is then a
+    partition of the written table.
+    """
     out = Recommendations()
-    roles = hero_ops.role_counts(counts)
-    classes = settle_dim(hero_ops.hero_classes(roles, model.heroes))
     dropped = settle_dim(hero_ops.unfinished(comp, cfg))
-    team = settle_dim(hero_ops.team_items(team_cnt, dropped, cfg))
+    classes = settle_dim(hero_ops.hero_classes(hero_ops.role_counts(counts), model.heroes))
     provider = cnt.GivenCounts(drop_items(counts, dropped), classes)
+    floors = {"L1": cfg.conf_mid}
+    base = stage(
+        metrics_of_levels(provider.table(), cfg.levels, cfg.min_buy_share, floors), "metrics", ["level"]
+    )
 
-    def level(name: str, who: str = "hero") -> DataFrame:
-        floor = cfg.conf_mid if name == "L1" else 0.0
-        return stage(level_metrics(provider.table(who), name, cfg.min_buy_share, floor), f"metrics_{who}_{name}")
+    def level(name: str, of: DataFrame = base) -> DataFrame:
+        return of.where(F.col("level") == name).drop("level")
 
     l2, l3 = level("L2"), level("L3")
     eb = shrink.spreads(l2, cfg)
     out.spreads = eb
-    s_l2 = stage(shrink.smooth(l2, eb, shrink.prior_from_mechanics(l2, l3, model.x_mech)), "s_l2")
-    out.tables["item"] = ans.rank_answers(s_l2, "L2", model.answers, eb, cfg)
-    if "L1" in cfg.levels:
-        l1 = level("L1")
-        s_l1 = stage(shrink.smooth(l1, eb, shrink.prior_from_items(l1, s_l2)), "s_l1")
-        out.tables["item_hero"] = ans.rank_answers(s_l1, "L1", model.answers, eb, cfg, only_confident=True)
-    s_hero = stage(shrink.smooth(level("hero"), eb), "s_hero")
-    out.tables["hero"] = ans.rank_answers(s_hero, "hero", model.answers, eb, cfg)
-    if "ally" in cfg.levels:
+    ranks = {}
+    if {"item", "item_hero"} & set(tables):
+        s_l2 = stage(shrink.smooth(l2, eb, shrink.prior_from_mechanics(l2, l3, model.x_mech)), "s_l2")
+        ranks["item"] = (s_l2, "L2", False)
+        if "L1" in cfg.levels and "item_hero" in tables:
+            l1 = level("L1")
+            ranks["item_hero"] = (stage(shrink.smooth(l1, eb, shrink.prior_from_items(l1, s_l2)), "s_l1"), "L1", True)
+    if "hero" in tables:
+        ranks["hero"] = (shrink.smooth(level("hero"), eb), "hero", False)
+    if {"item_class", "hero_class"} & set(tables):
+        by_class = stage(metrics_of_levels(provider.table("cls"), CLASS_LEVELS, cfg.min_buy_share), "metrics_cls", ["level"])
+        c2, c3 = level("L2", by_class), level("L3", by_class)
+        if "item_class" in tables:
+            s_c2 = stage(shrink.smooth(c2, eb, shrink.prior_from_mechanics(c2, c3, model.x_mech)), "s_c2")
+            ranks["item_class"] = (s_c2, "L2", False)
+        if "hero_class" in tables:
+            ranks["hero_class"] = (shrink.smooth(level("hero", by_class), eb), "hero", False)
+    for name, (smoothed, lvl, confident) in ranks.items():
+        if name in tables:
+            out.tables[name] = ans.rank_answers(smoothed, lvl, model.answers, eb, cfg, only_confident=confident)
+    if "ally" in cfg.levels and "ally" in tables:
+        team = hero_ops.team_items(team_cnt, dropped, cfg)
         out.tables["ally"] = ans.ally_answers(shrink.smooth(level("ally"), eb), team, cfg)
-    c2, c3 = level("L2", "cls"), level("L3", "cls")
-    s_c2 = stage(shrink.smooth(c2, eb, shrink.prior_from_mechanics(c2, c3, model.x_mech)), "s_c2")
-    out.tables["item_class"] = ans.rank_answers(s_c2, "L2", model.answers, eb, cfg)
-    s_ch = stage(shrink.smooth(level("hero", "cls"), eb), "s_chero")
-    out.tables["hero_class"] = ans.rank_answers(s_ch, "hero", model.answers, eb, cfg)
 
     out.tables["roles"] = hero_ops.role_shares(counts)
     out.tables["late"] = hero_ops.late_strength(counts)
@@ -110,15 +131,22 @@ def prepare_teams(
 
 
 def recommendations(
-    matches: DataFrame, model: ItemModel, cfg: Config, ranks: DataFrame | None = None, where: Column | None = None,
+    matches: DataFrame,
+    model: ItemModel,
+    cfg: Config,
+    ranks: DataFrame | None = None,
+    where: Column | None = None,
     rank_group: str | None = None,
+    tables: Sequence[str] = ALL_TABLES,
 ) -> Recommendations:
     """From scratch over all matches. The raw rows are read once; the team table is read three times."""
     ready = prepare_teams(matches, model, cfg, ranks, where)
     counts = stage(cnt.count_teams(ready.teams, rank_group), "counts")
     comp = settle_dim(hero_ops.component_share(ready.teams, model.parts))
-    team_cnt = settle_dim(hero_ops.team_counts(ready.teams))
-    return finish(counts, comp, team_cnt, team_facts(ready.teams), model, cfg)
+    team_cnt = hero_ops.team_counts(ready.teams)
+    if "ally" in tables or "team_items" in tables:
+        team_cnt = settle_dim(team_cnt)
+    return finish(counts, comp, team_cnt, team_facts(ready.teams), model, cfg, tables)
 
 
 def team_facts(team_rows: DataFrame) -> DataFrame:
