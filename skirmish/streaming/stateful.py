@@ -12,11 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 IDLE_MS = 3 * 3600 * 1000
 
 
-def keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, out_schema: str) -> DataFrame:
+def keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, out_schema: str, time: str = "ts") -> DataFrame:
     """``step(state: dict, row) -> list of output tuples`` over a key's rows in order.
 
-    The state is a small dict kept as JSON in the state store and dropped after three idle hours
-    (a match is over by then). Rows of one micro-batch are ordered before they are applied.
+    The state is a small dict kept as JSON in the state store and dropped once the watermark of
+    ``time`` is three hours past the key's last row (a match is over by then). Rows of one
+    micro-batch are ordered before they are applied.
     """
     order = list(order)
     names = [part.split()[0] for part in out_schema.split(", ")]
@@ -31,11 +32,13 @@ def keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callab
         for row in rows.itertuples(index=False, name="Row"):
             out.extend((*key, *values) for values in step(memo, row))
         state.update((json.dumps(memo),))
-        state.setTimeoutDuration(IDLE_MS)
+        last = int(rows[time].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + IDLE_MS)
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(*keys).applyInPandasWithState(run, out_schema, "memo string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = df.withWatermark(time, "10 minutes")
+    return marked.groupBy(*keys).applyInPandasWithState(run, out_schema, "memo string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def changed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, key_schema: str) -> DataFrame:

@@ -59,7 +59,7 @@ def broken_json_lines(spark, d):
     text = F.to_json(F.struct(F.col("o_orderkey").alias("match_id"), F.lit(2000).alias("duration")))
     cut = F.when(F.col("o_orderkey") % 50 == 0, F.expr("substring(v, 1, length(v) - 4)")).otherwise(F.col("v"))
     T.read(spark, d, "orders").select("o_orderkey", text.alias("v")).select(cut.alias("value")).write.text(path)
-    read = spark.read.schema("match_id bigint, duration int, _corrupt_record string").json(path)
+    read = stage(spark.read.schema("match_id bigint, duration int, _corrupt_record string").json(path), "lines")
     return read.agg(F.count("*").alias("lines"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("broken"))
 
 
@@ -85,16 +85,16 @@ def patch_in_force(spark, d):
 
 
 @query("nearest_event", T.with_sql(EV) + """
-, t AS (SELECT event_id AS target, at AS target_at FROM ev WHERE event_type = 'purchase'),
-  p AS (SELECT event_id AS point, at AS point_at FROM ev WHERE event_type = 'error')
+, t AS (SELECT event_id AS target, sec AS target_at FROM ev WHERE event_type = 'purchase'),
+  p AS (SELECT event_id AS point, sec AS point_at FROM ev WHERE event_type = 'error')
 SELECT t.target, t.target_at, arg_min(p.point, struct_pack(g := abs(p.point_at - t.target_at), a := p.point_at, i := p.point)) AS point,
        arg_min(p.point_at, struct_pack(g := abs(p.point_at - t.target_at), a := p.point_at, i := p.point)) AS point_at,
        min(abs(p.point_at - t.target_at)) AS gap
 FROM t LEFT JOIN p ON p.point_at BETWEEN t.target_at - 600 AND t.target_at + 600 GROUP BY t.target, t.target_at""")
 def nearest_event(spark, d):
     e = T2.events(spark, d)
-    targets = e.where("event_type = 'purchase'").select(F.col("event_id").alias("target"), F.col("at").alias("target_at"))
-    points = e.where("event_type = 'error'").select(F.col("event_id").alias("point"), F.col("at").alias("point_at"))
+    targets = e.where("event_type = 'purchase'").select(F.col("event_id").alias("target"), F.col("sec").alias("target_at"))
+    points = e.where("event_type = 'error'").select(F.col("event_id").alias("point"), F.col("sec").alias("point_at"))
     return asof.nearest_point(targets, points, "target", "target_at", "point", "point_at", 600)
 
 
@@ -109,9 +109,9 @@ SPECS = [
 SPEC_SCHEMA = "event_id string, kind string, first int, interval int, until int, times array<int>, trigger string, delays array<int>, warn array<int>, first_warn array<int>"
 GAME = 7200
 SQL_STEPS = """
-pk AS (SELECT user_id * 1000 + at // 7200 AS match_id, CAST(at % 7200 AS INTEGER) AS clock, event_id, event_type, k, at FROM ev),
+pk AS (SELECT user_id * 1000 + sec // 7200 AS match_id, CAST(sec % 7200 AS INTEGER) AS clock, event_id, event_type, k, sec FROM ev),
 st AS (SELECT match_id, event_id, clock, greatest(coalesce(CASE WHEN prev <= clock THEN prev END, clock - 1), clock - 4) AS lo
-       FROM (SELECT *, lag(clock) OVER (PARTITION BY match_id ORDER BY at, event_id) AS prev FROM pk))"""
+       FROM (SELECT *, lag(clock) OVER (PARTITION BY match_id ORDER BY sec, event_id) AS prev FROM pk))"""
 SQL_ALERTS = """
 occ AS (
   SELECT 'rune' AS event_id, i AS index, 360 + 120 * i AS event_time FROM range(0, 70) r(i)
@@ -132,8 +132,8 @@ def _specs(spark):
 
 def _clocked(e):
     return e.select(
-        (F.col("user_id") * 1000 + F.expr(f"at div {GAME}")).alias("match_id"), (F.col("at") % GAME).cast("int").alias("clock"),
-        "event_id", "event_type", "k", "at",
+        (F.col("user_id") * 1000 + F.expr(f"sec div {GAME}")).alias("match_id"), (F.col("sec") % GAME).cast("int").alias("clock"),
+        "event_id", "event_type", "k", "sec", "ts",
     )
 
 
@@ -146,7 +146,7 @@ SELECT s.match_id, s.clock, a.event_id AS alert, a.index, a.event_time, a.warn_b
 FROM st s JOIN al a ON a.fire_time > s.lo AND a.fire_time <= s.clock""")
 def scheduled_alerts(spark, d):
     p = _clocked(T2.events(spark, d))
-    steps = asof.clock_steps(p, ["match_id"], ["at", "event_id"], "clock", 3, GAME, "at").select("match_id", "clock", "lo")
+    steps = asof.clock_steps(p, ["match_id"], ["sec", "event_id"], "clock", 3, GAME, "sec").select("match_id", "clock", "lo")
     al = _alerts(spark).withColumnRenamed("event_id", "alert")
     return asof.due_alerts(steps, al, "clock", 3).select("match_id", "clock", "alert", "index", "event_time", "warn_before", "fire_time")
 
@@ -156,66 +156,66 @@ SELECT s.match_id, s.clock, a.event_id, a.event_time, a.warn_before, a.fire_time
 FROM st s JOIN al a ON a.fire_time > s.lo AND a.fire_time <= s.clock""")
 def stream_scheduled_alerts(spark, d):
     """The same alerts from keyed state on a stream."""
-    p = _clocked(T2.events_stream(spark, d)).select("match_id", "clock", (F.col("at") * 1_000_000_000 + F.col("event_id")).alias("order_"))
+    p = _clocked(T2.events_stream(spark, d)).select("ts", "match_id", "clock", (F.col("sec") * 1_000_000_000 + F.col("event_id")).alias("order_"))
     table = [tuple(r) for r in _alerts(spark).select("event_id", "event_time", "warn_before", "fire_time").collect()]
     return jobs.drain(stateful.timer_alerts(p, table, "clock", "match_id", "match_id bigint"), "timers")
 
 
 HEADS_SQL = """
-tr AS (SELECT DISTINCT user_id, at FROM ev WHERE event_type = 'error'),
-nx AS (SELECT user_id, at, (SELECT min(b.at) FROM tr b WHERE b.user_id = a.user_id AND b.at >= a.at + {gap}) AS nxt FROM tr a),
+tr AS (SELECT DISTINCT user_id, sec FROM ev WHERE event_type = 'error'),
+nx AS (SELECT user_id, sec, (SELECT min(b.sec) FROM tr b WHERE b.user_id = a.user_id AND b.sec >= a.sec + {gap}) AS nxt FROM tr a),
 heads AS (
-  WITH RECURSIVE h(user_id, at) AS (
-    SELECT user_id, min(at) FROM tr GROUP BY user_id
-    UNION ALL SELECT n.user_id, n.nxt FROM h JOIN nx n ON n.user_id = h.user_id AND n.at = h.at WHERE n.nxt IS NOT NULL
+  WITH RECURSIVE h(user_id, sec) AS (
+    SELECT user_id, min(sec) FROM tr GROUP BY user_id
+    UNION ALL SELECT n.user_id, n.nxt FROM h JOIN nx n ON n.user_id = h.user_id AND n.sec = h.sec WHERE n.nxt IS NOT NULL
   ) SELECT * FROM h
 )"""
 
 
-@query("trigger_dedupe", T.with_sql(EV, HEADS_SQL.format(gap=20000)) + "SELECT user_id, at FROM heads")
+@query("trigger_dedupe", T.with_sql(EV, HEADS_SQL.format(gap=20000)) + "SELECT user_id, sec FROM heads")
 def trigger_dedupe(spark, d):
     """Triggers closer than a gap to the last kept one are repeats."""
-    e = T2.events(spark, d).where("event_type = 'error'").select("user_id", "at").distinct()
-    return asof.dedupe_triggers(e, ["user_id"], "at", 20000)
+    e = T2.events(spark, d).where("event_type = 'error'").select("user_id", "sec").distinct()
+    return asof.dedupe_triggers(e, ["user_id"], "sec", 20000)
 
 
 @query("trigger_alerts", T.with_sql(EV, HEADS_SQL.format(gap=20000)) + """
-SELECT user_id, at, i AS index, at + d AS event_time, w AS warn_before, at + d - w AS fire_time
+SELECT user_id, sec, i AS index, sec + d AS event_time, w AS warn_before, sec + d - w AS fire_time
 FROM heads, (VALUES (0, 600), (1, 660)) x(i, d), (VALUES (0), (30)) y(w)""")
 def trigger_alerts(spark, d):
     kept = trigger_dedupe(spark, d).withColumn("trigger", F.lit("error"))
-    return asof.trigger_alerts(kept, _specs(spark), "at").select("user_id", "at", "index", "event_time", "warn_before", "fire_time")
+    return asof.trigger_alerts(kept, _specs(spark), "sec").select("user_id", "sec", "index", "event_time", "warn_before", "fire_time")
 
 
 @query("merge_groups", T.with_sql(EV, HEADS_SQL.format(gap=40000).replace("WHERE event_type = 'error'", ""),) + """
-, g AS (SELECT DISTINCT e.user_id, e.event_id, e.event_type, e.k, e.at, (SELECT max(h.at) FROM heads h WHERE h.user_id = e.user_id AND h.at <= e.at) AS head FROM ev e)
-SELECT user_id, head, count(*) AS alerts, arg_min(event_id, struct_pack(p := -(k % 4), a := at, i := event_id)) AS voice_event FROM g GROUP BY user_id, head""")
+, g AS (SELECT DISTINCT e.user_id, e.event_id, e.event_type, e.k, e.sec, (SELECT max(h.sec) FROM heads h WHERE h.user_id = e.user_id AND h.sec <= e.sec) AS head FROM ev e)
+SELECT user_id, head, count(*) AS alerts, arg_min(event_id, struct_pack(p := -(k % 4), a := sec, i := event_id)) AS voice_event FROM g GROUP BY user_id, head""")
 def merge_groups(spark, d):
     """Anchored merge window: everything within the window of the group's first alert, one voice each."""
-    e = T2.events(spark, d).select("user_id", "event_id", "event_type", "k", "at")
-    g = sessions.anchored_groups(e, ["user_id"], "at", ["at", "event_id"], 40000)
+    e = T2.events(spark, d).select("user_id", "event_id", "event_type", "k", "sec")
+    g = sessions.anchored_groups(e, ["user_id"], "sec", ["sec", "event_id"], 40000)
     return g.groupBy("user_id", "head").agg(
-        F.count("*").alias("alerts"), F.min_by("event_id", F.struct(-(F.col("k") % 4), "at", "event_id")).alias("voice_event")
+        F.count("*").alias("alerts"), F.min_by("event_id", F.struct(-(F.col("k") % 4), "sec", "event_id")).alias("voice_event")
     )
 
 
 @query("voice_rate_limit", T.with_sql(EV) + """
-, o AS (SELECT user_id, event_id, at, k % 4 AS pr, row_number() OVER (PARTITION BY user_id ORDER BY at, event_id) AS rn FROM ev),
+, o AS (SELECT user_id, event_id, sec, k % 4 AS pr, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS rn FROM ev),
 w AS (
   WITH RECURSIVE v(user_id, rn, event_id, spoken, last) AS (
-    SELECT user_id, rn, event_id, true, at FROM o WHERE rn = 1
-    UNION ALL SELECT o.user_id, o.rn, o.event_id, o.pr >= 3 OR o.at - v.last >= 30000, CASE WHEN o.pr >= 3 OR o.at - v.last >= 30000 THEN o.at ELSE v.last END
+    SELECT user_id, rn, event_id, true, sec FROM o WHERE rn = 1
+    UNION ALL SELECT o.user_id, o.rn, o.event_id, o.pr >= 3 OR o.sec - v.last >= 30000, CASE WHEN o.pr >= 3 OR o.sec - v.last >= 30000 THEN o.sec ELSE v.last END
     FROM v JOIN o ON o.user_id = v.user_id AND o.rn = v.rn + 1
   ) SELECT * FROM v
 )
 SELECT user_id, event_id, spoken FROM w""")
 def voice_rate_limit(spark, d):
-    e = T2.events(spark, d).select("user_id", "event_id", "at", (F.col("k") % 4).alias("pr"))
-    return sessions.rate_limited(e, ["user_id"], "at", ["at", "event_id"], "pr", 30000, 3).select("user_id", "event_id", "spoken")
+    e = T2.events(spark, d).select("user_id", "event_id", "sec", (F.col("k") % 4).alias("pr"))
+    return sessions.rate_limited(e, ["user_id"], "sec", ["sec", "event_id"], "pr", 30000, 3).select("user_id", "event_id", "spoken")
 
 
 @query("steady_advice", T.with_sql(EV) + """
-, o AS (SELECT user_id, event_id, at, k % 5 AS choice, (k % 7) / 2.0 AS score, event_type, row_number() OVER (PARTITION BY user_id ORDER BY at, event_id) AS rn FROM ev),
+, o AS (SELECT user_id, event_id, sec, k % 5 AS choice, (k % 7) / 2.0 AS score, event_type, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS rn FROM ev),
 w AS (
   WITH RECURSIVE v(user_id, rn, event_id, kept, mark) AS (
     SELECT user_id, rn, event_id, choice, event_type FROM o WHERE rn = 1
@@ -229,23 +229,24 @@ def steady_advice(spark, d):
     """Hysteresis: a choice stays unless the new one is clearly better or the situation changed."""
     offered = F.create_map(*[x for c in range(4) for x in (F.lit(c), F.lit(c / 2.0))])
     e = T2.events(spark, d).select(
-        "user_id", "event_id", "at", (F.col("k") % 5).alias("choice"), ((F.col("k") % 7) / 2.0).alias("score"), "event_type", offered.alias("offered")
+        "user_id", "event_id", "sec", (F.col("k") % 5).alias("choice"), ((F.col("k") % 7) / 2.0).alias("score"), "event_type", offered.alias("offered")
     )
-    out = sessions.steady_choice(e, ["user_id"], ["at", "event_id"], "choice", "score", "offered", "event_type", 0.5)
+    out = sessions.steady_choice(e, ["user_id"], ["sec", "event_id"], "choice", "score", "offered", "event_type", 0.5)
     return out.select("user_id", "event_id", "kept")
 
 
 @query("sampling_windows", T.with_sql(EV) + """
 , w AS (SELECT unnest([0, 2, 4, 6]) AS h)
 SELECT CAST(b * 3600 - h * 3600 AS BIGINT) AS start_at, count(*) AS events
-FROM (SELECT CASE WHEN (max(at) - 3600) // 3600 % 2 = 0 THEN (max(at) - 3600) // 3600 ELSE (max(at) - 3600) // 3600 - 1 END AS b FROM ev), w
-JOIN ev ON ev.at // 3600 = b - h GROUP BY ALL""")
+FROM (SELECT CASE WHEN (max(sec) - 3600) // 3600 % 2 = 0 THEN (max(sec) - 3600) // 3600 ELSE (max(sec) - 3600) // 3600 - 1 END AS b FROM ev), w
+JOIN ev ON ev.sec // 3600 = b - h GROUP BY ALL""")
 def sampling_windows(spark, d):
     """Events in sampling windows on the even-hour grid before the newest event."""
     e = T2.events(spark, d)
-    run = e.agg(F.max("at").alias("m")).select(F.explode(asof.window_starts(F.col("m"), 4, 0)).cast("bigint").alias("start_at"))
+    run = e.agg(F.max("sec").alias("m")).select(F.explode(asof.window_starts(F.col("m"), 4, 0)).alias("start_at"))
+    run = run.select(F.col("start_at").cast("bigint").alias("start_at"))
     hours = run.withColumn("hour", F.expr("start_at div 3600"))
-    return e.withColumn("hour", F.expr("at div 3600")).join(hours, "hour").groupBy("start_at").agg(F.count("*").alias("events"))
+    return e.withColumn("hour", F.expr("sec div 3600")).join(hours, "hour").groupBy("start_at").agg(F.count("*").alias("events"))
 
 
 @query("spaced_id_sample", """
@@ -403,63 +404,63 @@ def snapshot_files(spark, d):
 # ---- streams ---------------------------------------------------------------------------------
 
 
-@query("stream_event_dedupe", T.with_sql(EV) + "SELECT user_id, event_type, k, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, k, at // 60 AS m FROM ev) GROUP BY ALL")
+@query("stream_event_dedupe", T.with_sql(EV) + "SELECT user_id, event_type, k, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, k, sec // 60 AS m FROM ev) GROUP BY ALL")
 def stream_event_dedupe(spark, d):
-    e = T2.events_stream(spark, d).withColumn("m", F.expr("at div 60"))
+    e = T2.events_stream(spark, d).withColumn("m", F.expr("sec div 60"))
     kept = jobs.drain(packets.new_events(e, ["user_id", "event_type", "k", "m"], "ts", "100 days"), "dedupe")
     return kept.groupBy("user_id", "event_type", "k").agg(F.count("*").alias("n"))
 
 
-@query("first_seen_items", T.with_sql(EV) + "SELECT user_id, event_type, k, min(at) AS at FROM ev GROUP BY ALL")
+@query("first_seen_items", T.with_sql(EV) + "SELECT user_id, event_type, k, min(sec) AS sec FROM ev GROUP BY ALL")
 def first_seen_items(spark, d):
-    return packets.first_seen(T2.events(spark, d), ["user_id", "event_type", "k"], "at")
+    return packets.first_seen(T2.events(spark, d), ["user_id", "event_type", "k"], "sec")
 
 
 @query("mode_detection", T.with_sql(EV, SQL_STEPS) + """
-SELECT match_id, arg_min(clock, at) AS clock, arg_min(CASE WHEN k * 10 / clock > 2.25 THEN 'turbo' ELSE 'normal' END, at) AS mode
+SELECT match_id, arg_min(clock, sec) AS clock, arg_min(CASE WHEN k * 10 / clock > 2.25 THEN 'turbo' ELSE 'normal' END, sec) AS mode
 FROM pk WHERE clock BETWEEN 30 AND 300 GROUP BY match_id""")
 def mode_detection(spark, d):
     p = _clocked(T2.events(spark, d)).withColumn("income", F.col("k") * 10)
-    return packets.detect_mode(p, "match_id", "clock", "income", "at")
+    return packets.detect_mode(p, "match_id", "clock", "income", "sec")
 
 
 @query("value_changes", T.with_sql(EV) + """
-SELECT user_id, at, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY at, event_id) AS b FROM ev)
+SELECT user_id, sec, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS b FROM ev)
 WHERE b IS NULL OR b <> event_type""")
 def value_changes(spark, d):
-    e = T2.events(spark, d).select("user_id", "event_id", "at", "event_type")
-    return row_ops.changes(e, ["user_id"], "at", ["at", "event_id"], "event_type", 86400.0).select("user_id", "at", "event_type")
+    e = T2.events(spark, d).select("user_id", "event_id", "sec", "event_type")
+    return row_ops.changes(e, ["user_id"], "sec", ["sec", "event_id"], "event_type", 86400.0).select("user_id", "sec", "event_type")
 
 
 @query("stream_value_changes", T.with_sql(EV) + """
-SELECT user_id, at * 100000 + event_id AS at, event_type AS value FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY at, event_id) AS b FROM ev)
+SELECT user_id, sec * 100000 + event_id AS sec, event_type AS value FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS b FROM ev)
 WHERE b IS NULL OR b <> event_type""")
 def stream_value_changes(spark, d):
-    e = T2.events_stream(spark, d).select("user_id", (F.col("at") * 100000 + F.col("event_id")).alias("o"), "event_type")
-    return jobs.drain(stateful.changed(e, ["user_id"], ["o"], "event_type", "user_id bigint"), "changes")
+    e = T2.events_stream(spark, d).select("ts", "user_id", (F.col("sec") * 100000 + F.col("event_id")).alias("o"), "event_type")
+    return jobs.drain(stateful.changed(e, ["user_id"], ["o"], "event_type", "user_id bigint"), "changes").withColumnRenamed("at", "sec")
 
 
 @query("death_edges", T.with_sql(EV) + """
-SELECT user_id, event_id FROM (SELECT *, k % 3 > 0 AS alive, lag(k % 3 > 0) OVER (PARTITION BY user_id ORDER BY at, event_id) AS was FROM ev) WHERE was AND NOT alive""")
+SELECT user_id, event_id FROM (SELECT *, k % 3 > 0 AS alive, lag(k % 3 > 0) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS was FROM ev) WHERE was AND NOT alive""")
 def death_edges(spark, d):
-    e = T2.events(spark, d).select("user_id", "event_id", "at", (F.col("k") % 3 > 0).alias("alive"))
-    lagged = row_ops.lag_sliced(e, ["user_id"], "at", ["at", "event_id"], "alive", 86400.0, "was")
+    e = T2.events(spark, d).select("user_id", "event_id", "sec", (F.col("k") % 3 > 0).alias("alive"))
+    lagged = row_ops.lag_sliced(e, ["user_id"], "sec", ["sec", "event_id"], "alive", 86400.0, "was")
     return lagged.where(F.col("was") & ~F.col("alive")).select("user_id", "event_id")
 
 
 @query("segments_by_marker", T.with_sql(EV) + """
-SELECT user_id, seg, count(*) AS rows, min(at) AS first_at FROM (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END)
-  OVER (PARTITION BY user_id ORDER BY at, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS seg FROM ev) GROUP BY ALL""")
+SELECT user_id, seg, count(*) AS rows, min(sec) AS first_at FROM (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END)
+  OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS seg FROM ev) GROUP BY ALL""")
 def segments_by_marker(spark, d):
     """Segment ids from marker rows, for keys of any length."""
-    e = T2.events(spark, d).select("user_id", "event_id", "at", "event_type")
+    e = T2.events(spark, d).select("user_id", "event_id", "sec", "event_type")
     marker = (F.col("event_type") == "signup").cast("int")
-    seg = row_ops.running_sum_sliced(e, ["user_id"], "at", ["at", "event_id"], marker, 86400.0, "seg")
-    return seg.groupBy("user_id", "seg").agg(F.count("*").alias("rows"), F.min("at").alias("first_at"))
+    seg = row_ops.running_sum_sliced(e, ["user_id"], "sec", ["sec", "event_id"], marker, 86400.0, "seg")
+    return seg.groupBy("user_id", "seg").agg(F.count("*").alias("rows"), F.min("sec").alias("first_at"))
 
 
 @query("packet_sessions", T.with_sql(EV) + """
-SELECT user_id, min(at) AS first_at, count(*) AS packets FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
+SELECT user_id, min(sec) AS first_at, count(*) AS packets FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
  (SELECT e.*, v.ts, CASE WHEN lag(v.ts) OVER w + INTERVAL 3 HOURS > v.ts THEN 0 ELSE 1 END AS n FROM ev e JOIN events v USING (event_id) WINDOW w AS (PARTITION BY e.user_id ORDER BY v.ts, e.event_id)))
 GROUP BY user_id, s""")
 def packet_sessions(spark, d):
@@ -470,19 +471,19 @@ def packet_sessions(spark, d):
 @query("stream_merged_voices")
 def stream_merged_voices(spark, d):
     """Anchored groups with the voice limit on keyed state."""
-    e = T2.events_stream(spark, d).select("user_id", F.col("at").cast("int").alias("fire_time"), (F.col("k") % 4).alias("priority"), F.col("event_type").alias("event_id"))
+    e = T2.events_stream(spark, d).select("ts", "user_id", F.col("sec").cast("int").alias("fire_time"), (F.col("k") % 4).alias("priority"), F.col("event_type").alias("event_id"))
     return jobs.drain(stateful.merged_voices(e, "user_id", "user_id bigint", 40000, 30000.0, 3), "voices")
 
 
 @query("stream_first_hints", T.with_sql(EV) + """
-, o AS (SELECT user_id, CAST(at AS INTEGER) AS clock, CASE WHEN k % 2 = 0 THEN 'item' ELSE 'building' END AS kind, event_type AS hero, CAST(k // 2 AS VARCHAR) AS item, event_id FROM ev),
+, o AS (SELECT user_id, CAST(sec AS INTEGER) AS clock, CASE WHEN k % 2 = 0 THEN 'item' ELSE 'building' END AS kind, event_type AS hero, CAST(k // 2 AS VARCHAR) AS item, event_id FROM ev),
 f AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind, hero, item ORDER BY clock, event_id) AS rn FROM o)
 SELECT user_id, clock, kind, hero, item FROM f WHERE rn = 1 AND NOT (kind = 'building' AND EXISTS (
   SELECT 1 FROM f i WHERE i.user_id = f.user_id AND i.hero = f.hero AND i.item = f.item AND i.kind = 'item' AND i.clock < f.clock))
   AND (kind = 'item' OR true)""")
 def stream_first_hints(spark, d):
     e = T2.events_stream(spark, d).select(
-        "user_id", F.col("at").cast("int").alias("clock"), F.when(F.col("k") % 2 == 0, "item").otherwise("building").alias("kind"),
+        "ts", "user_id", F.col("sec").cast("int").alias("clock"), F.when(F.col("k") % 2 == 0, "item").otherwise("building").alias("kind"),
         F.col("event_type").alias("hero"), F.expr("cast(k div 2 as string)").alias("item"),
     )
     return jobs.drain(stateful.first_hints(e, "user_id", "user_id bigint"), "hints")

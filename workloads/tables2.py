@@ -14,7 +14,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         "event_id", "user_id", "event_type", "props", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        (F.unix_timestamp("ts") - 1704067200).alias("at"),
+        (F.unix_timestamp("ts") - 1704067200).alias("sec"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
 
@@ -22,7 +22,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 SQL_EVENTS = """
 ev AS (
   SELECT event_id, user_id, event_type, props, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-         CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS at FROM events
+         CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS sec FROM events
 )"""
 
 
@@ -32,7 +32,7 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         "event_id", "user_id", "event_type", "props", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        (F.unix_timestamp("ts") - 1704067200).alias("at"),
+        (F.unix_timestamp("ts") - 1704067200).alias("sec"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
 
