@@ -12,7 +12,7 @@ from skirmish.operators import advise as adv
 from skirmish.operators import counts as cnt
 from skirmish.operators import cube as cube_ops
 from skirmish.operators import heroes as hero_ops
-from skirmish.operators import hints, lift, profile, reports, tags, threats, timings, uplift, validate
+from skirmish.operators import hints, lift, profile, reports, tags, threats, timings, uplift, validate, wiki
 from skirmish.operators.rows import top_per_key
 from skirmish.plans import prepare, recommend
 from skirmish.session import settle_dim, small_table, stage
@@ -334,14 +334,14 @@ def _hint_choice(floor: float):
         shares = q.select("request", "hero").join(sums, "hero").select("request", "y", "share")
         owned = q.select("request", (100 + F.col("request") % 10).cast("int").alias("y"))
         out = hints.choose(q.join(vs, "x").select("request", "y", "answer", "prop", "ord"), shares, owned, HintConfig(min_own_share=floor))
-        return out.select("request", "place", "y", "answer", F.round("share", 5).alias("share"), "rare")
+        return out.select("request", "place", "y", "answer", "share", "rare")
 
     return run
 
 
 for _name, _floor in (("item_hints", 2.0), ("item_hints_rare", 25.0)):
     query(_name, T.with_sql(*BASE, BUYS, ASKS, HINT_TABLES, HINT_CHOICE.format(floor=_floor)) + """
-SELECT request, CAST(place AS INTEGER) AS place, y, answer, round(share, 5) AS share, NOT any_good AS rare FROM hp
+SELECT request, CAST(place AS INTEGER) AS place, y, answer, share, NOT any_good AS rare FROM hp
 WHERE CASE WHEN any_good THEN good AND place <= 2 ELSE place = 1 END""")(_hint_choice(_floor))
 
 
@@ -483,17 +483,14 @@ def wiki_pages(spark, d):
 
 
 @query("page_counter_items", T.with_sql(PAGES) + """
-SELECT page, ln - 1 - (SELECT 0) AS line, lower(name) AS item, 1 AS pos FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ln, name) AS ln, name, brand FROM wl)
-UNION ALL SELECT page, ln - 1, lower(brand), 2 FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ln, name) AS ln, name, brand FROM wl)""")
+SELECT page, ln - 1 - (SELECT 0) AS line, lower(name) AS item, 1 AS pos FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ln, name, brand) AS ln, name, brand FROM wl)
+UNION ALL SELECT page, ln - 1, lower(brand), 2 FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ln, name, brand) AS ln, name, brand FROM wl)""")
 def page_counter_items(spark, d):
     """Items that open the list lines of the "Bad against" section, in order."""
-    names = T.read(spark, d, "part").select(F.explode(F.array("p_name", "p_brand")).alias("n")).distinct()
-    known = F.array(*[F.lit(r["n"]) for r in names.select(tx.normal_name(F.col("n")).alias("n")).distinct().limit(50_000).collect()])
-    bad = wiki_pages(spark, d).select("page", F.explode(tx.sections(F.col("text"), 2)).alias("s")).where(F.lower("s.title").startswith("bad against"))
-    body = bad.select("page", F.explode(tx.sections(F.col("s.body"), 3)).alias("s")).where(F.lower("s.title").startswith("item"))
-    lines = body.select("page", F.posexplode(F.filter(F.split("s.body", "\n"), lambda x: x.startswith("*"))).alias("line", "text"))
-    items = lines.select("page", F.col("line").cast("bigint").alias("line"), F.posexplode(tx.lead_items(F.col("text"), known)).alias("p", "n"))
-    return items.select("page", "line", tx.normal_name(F.col("n")).alias("item"), (F.col("p") + 1).alias("pos"))
+    names = T.read(spark, d, "part").select(F.explode(F.array("p_name", "p_brand")).alias("n"))
+    known = names.select(tx.normal_name(F.col("n")).alias("item")).distinct()
+    items = wiki.lead_items(wiki.counter_lines(wiki_pages(spark, d), "page"), ["page", "line"], known)
+    return items.select("page", F.col("line").cast("bigint").alias("line"), "item", F.col("pos") + 1).toDF("page", "line", "item", "pos")
 
 
 @query("page_mentions", T.with_sql(PAGES) + """
@@ -635,11 +632,11 @@ def run_report(spark, d):
 
 @query("unfinished_runs", T.with_sql(EV) + """
 SELECT user_id AS tag, count(*) AS parts, max(sec) AS last, 2400000 - max(sec) < 1800 AS running, round(count(*) / greatest((max(sec) - 0) / 3600.0, 1e-6), 6)::DOUBLE AS per_hour FROM ev
-WHERE user_id NOT IN (SELECT user_id FROM ev WHERE event_type = 'signup') GROUP BY user_id""")
+WHERE user_id NOT IN (SELECT user_id FROM ev WHERE event_type = 'signup' AND k % 9 = 0) GROUP BY user_id""")
 def unfinished_runs(spark, d):
     e = T2.events(spark, d)
     parts = e.select(F.col("user_id").alias("tag"), F.col("sec").alias("updated_at"))
-    done = e.where("event_type = 'signup'").select(F.col("user_id").alias("tag")).distinct()
+    done = e.where("event_type = 'signup' and k % 9 = 0").select(F.col("user_id").alias("tag")).distinct()
     out = reports.liveness(reports.part_groups(parts, done), F.lit(2400000))
     return out.withColumn("per_hour", F.round(reports.throughput(F.col("parts"), F.lit(0), F.col("last")), 6))
 
