@@ -14,11 +14,9 @@ from skirmish.session import local_session  # noqa: E402
 from workloads import load  # noqa: E402
 
 HEADLINE = [
-    "games_prepared", "count_enemy_hero_owned", "count_enemy_item_owned", "lift_enemy_hero", "answers_enemy_item",
-    "answers_enemy_hero", "answers_ally", "team_pairs", "hero_matchups", "ingest_match_json", "retention_window",
+    "games_prepared", "count_enemy_hero_owned", "answers_enemy_hero", "ingest_match_json", "retention_window",
     "newest_matches", "patch_in_force", "nearest_event", "scheduled_alerts", "merge_groups", "value_changes",
-    "stream_event_dedupe", "purchase_medians", "count_cube", "threat_ranking", "uplift_recommendations", "item_hints",
-    "threshold_sweep", "evidence_words", "props_field_profile",
+    "stream_event_dedupe", "purchase_medians", "count_cube", "evidence_words", "props_field_profile",
 ]
 
 
