@@ -54,7 +54,8 @@ def compare(spark, con, name, fn, sql, sf_dir) -> str | None:
     types = {c[0]: str(c[1]) for c in cur.description}
     odd = [f"{f.name}: {f.dataType.simpleString()} vs {types[f.name]}" for f in df.schema if KIND.get(f.dataType.simpleString()) != types[f.name]]
     if got != want:
-        extra, miss = [r for r in got if r not in set(want)], [r for r in want if r not in set(got)]
+        in_got, in_want = set(got), set(want)
+        extra, miss = [r for r in got if r not in in_want], [r for r in want if r not in in_got]
         return f"rows {len(got)} vs {len(want)}; only spark {len(extra)} {extra[:2]}; only sql {len(miss)} {miss[:2]}"
     if not got:
         return "EMPTY on both sides"

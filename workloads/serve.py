@@ -483,8 +483,8 @@ def wiki_pages(spark, d):
 
 
 @query("page_counter_items", T.with_sql(PAGES) + """
-SELECT page, ln - 1 - (SELECT 0) AS line, lower(name) AS item, 1 AS pos FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ln, name, brand) AS ln, name, brand FROM wl)
-UNION ALL SELECT page, ln - 1, lower(brand), 2 FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ln, name, brand) AS ln, name, brand FROM wl)""")
+SELECT page, ln - 1 - (SELECT 0) AS line, lower(name) AS item, 1 AS pos FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ln, name || '|', brand || ']') AS ln, name, brand FROM wl)
+UNION ALL SELECT page, ln - 1, lower(brand), 2 FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY ln, name || '|', brand || ']') AS ln, name, brand FROM wl)""")
 def page_counter_items(spark, d):
     """Items that open the list lines of the "Bad against" section, in order."""
     names = T.read(spark, d, "part").select(F.explode(F.array("p_name", "p_brand")).alias("n"))
