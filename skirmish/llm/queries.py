@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skirmish.llm.common import table
+from skirmish.llm.decontaminate import found_items
 from skirmish.llm.packing import pack
+from skirmish.llm.pii import personal_data
+from skirmish.llm.quality import quality
+from skirmish.llm.simhash import near_duplicates
 from skirmish.llm.token_counts import count_tokens
 from skirmish.llm.token_files import token_digests
 
@@ -34,3 +39,26 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@_query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
