@@ -77,8 +77,9 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 1e-3, most
         times -= move * ratio[out]
         times[out] = ratio[out]
         if step % 200 == 199:  # keeps rounding errors from adding up
-            inverse = np.linalg.inv(columns)
-            times = inverse @ need
+            rest = 2 * np.eye(m) - np.einsum("ij,jk->ik", columns, inverse)  # one Newton step, without threads
+            inverse = np.einsum("ij,jk->ik", inverse, rest)
+            times = np.einsum("ij,j->i", inverse, need)
     left, plan = need.astype(np.int64), []
     for k in np.argsort(-times, kind="stable"):
         column = columns[:, k].astype(np.int64)

@@ -106,9 +106,9 @@ def labelled_words(seed: int = 7, stretches: int = 400) -> list[tuple[int, int,
     }
     rows = []
     for s in range(stretches):
-        kind = (*KINDS, "O")[s % (len(KINDS) + 1)]
+        kind = (*KINDS, "O", "O", "O")[s % (len(KINDS) + 3)]
         left, right = ([(w.capitalize() if rng.random() < 0.2 else w) + rng.choice(["", "", "", ".", ","]) for w in (word() for _ in range(rng.randint(2, 8)))] for _ in range(2))
-        middle = rng.choice(make[kind]()) if kind != "O" else rng.choice([[digits(rng.randint(1, 5))], [f"{digits(1)}.{digits(1)}"], [f"{word()}{digits(2)}"], [word()]])
+        middle = rng.choice(make[kind]()) if kind != "O" else rng.choice([[digits(rng.randint(1, 5))], [f"{digits(1)}.{digits(1)}"], [f"{digits(1)}.{digits(1)}."], [f"{digits(1)}.{digits(2)}"], [f"{digits(2)}%"], [f"{word()}{digits(2)}"], [word()]])
         if kind == "secret":
             left += [rng.choice(["token", "key", "secret"]), "="]
         middle[-1] += rng.choice(["", "", ".", ","])

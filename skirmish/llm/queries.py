@@ -8,14 +8,17 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from skirmish.llm import urls
 from skirmish.llm.common import table
 from skirmish.llm.decontaminate import found_items
+from skirmish.llm.licences import licence_paragraphs
 from skirmish.llm.packing import pack
 from skirmish.llm.pii import personal_data
 from skirmish.llm.quality import quality
 from skirmish.llm.simhash import near_duplicates
 from skirmish.llm.token_counts import count_tokens
 from skirmish.llm.token_files import token_digests
+from skirmish.llm.tool_calls import calls_of, link_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +29,25 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.tracked(pages))
+
+
+SQL["op1_url_filter"] = urls.SQL
+
+
+@_query
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_paragraphs(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_calls(*calls_of(table(spark, sf_dir, "conversations")))
+
+
 @_query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
