@@ -85,7 +85,7 @@ def features_of(word: str) -> tuple[str, ...]:
     core = word.strip(".,;:!?\"'")
     digits = sum(c in "0123456789" for c in core)
     kinds = [f"shape={shape_of(core)}", f"digits={min(digits, 20) if digits == len(core) else 'some' if digits else 'none'}"]
-    kinds += [f"has{s}" for s in "@+=()-." if s in core[1:-1]] + [f"first={shape_of(core[:1])}"]
+    kinds += [f"has{s}" for s in "@+=()-." if s in core[1:-1]] + [f"first={shape_of(core[:1])}", f"dots={min(core.count('.'), 4)} {digits > 0}"]
     mixed = len(core) >= 20 and digits and core.strip('"').isalnum()
     return (*kinds, "long_mixed") if mixed else tuple(kinds)
 
@@ -112,6 +112,8 @@ def labelled_words(seed: int = 7, stretches: int = 400) -> list[tuple[int, int,
         if kind == "secret":
             left += [rng.choice(["token", "key", "secret"]), "="]
         middle[-1] += rng.choice(["", "", ".", ","])
+        if kind == "O":
+            left.append(rng.choice(["Version", "CC", "BY-NC", "No", word()]))
         words = [(w, "O") for w in left] + [(w, kind) for w in middle] + [(w, "O") for w in right]
         rows += [(s, i, w, t) for i, (w, t) in enumerate(words)]
     return rows
