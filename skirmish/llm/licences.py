@@ -42,9 +42,16 @@ def words_of(text: Column) -> Column:
 
 
 def grams(words: Column, n: int) -> Column:
-    last = F.size(words) - (n - 1)
-    made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(last >= 1, made).otherwise(F.array().cast("array<string>"))
+    """The runs of ``n`` words, linear in the words."""
+    out = words
+    for i in range(2, n + 1):
+        out = F.filter(F.zip_with(out, F.slice(words, F.lit(i), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+    return out
+
+
+def once(column: Column) -> Column:
+    """A generator of one row: filters are not pushed below it, so the expression is evaluated once."""
+    return F.explode(F.array(column))
 
 
 class Model:
@@ -95,10 +102,11 @@ def licence_paragraphs(docs: DataFrame, table: DataFrame | None = None, confirm:
     """
     model = Model(labelled(docs.sparkSession) if table is None else table)
     lines = docs.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(whole_text(text_column), "\n")).alias("paragraph", "line"))
-    pairs = lines.withColumn("words", words_of(F.col("line"))).withColumn("pairs", grams(F.col("words"), 2))
+    words = lines.select("doc_id", "paragraph", once(words_of(F.col("line"))).alias("words"))
+    pairs = words.select("*", once(grams(F.col("words"), 2)).alias("pairs"))
     two = [g for g in model.vocabulary if g.count(" ") == 1]
     gated = pairs.where(F.arrays_overlap("pairs", F.lit(two)))
-    scored = gated.withColumn("scores", model.scores(F.array_distinct(F.concat("pairs", grams(F.col("words"), 3)))))
+    scored = gated.select("*", once(model.scores(F.array_distinct(F.concat("pairs", grams(F.col("words"), 3))))).alias("scores"))
     family, sure = model.best(F.col("scores"))
     found = scored.withColumns({"family": family, "probability": sure}).where(F.col("probability") > model.cut)
     confirmed = F.lit(False)
