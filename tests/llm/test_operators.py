@@ -106,7 +106,7 @@ def test_quality_keeps_clean_and_drops_junk(spark):
 def test_personal_data(spark):
     text = "write to a.b@mail.example.com or 10.0.0.256 10.0.0.25 now, +1 (743) 555-3824, 4111 1111 1111 1111."
     found = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.base_spans(text)]
-    assert found == [("email", "a.b@mail.example.com"), ("phone", "+1 (743) 555-3824"), ("card", "4111 1111 1111 1111")] or ("ip", "10.0.0.25") in found
+    assert found == [("email", "a.b@mail.example.com"), ("ip", "10.0.0.25"), ("phone", "+1 (743) 555-3824"), ("card", "4111 1111 1111 1111")]
     docs = docs_of(spark, [text, None, "", "plain words only", 'the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" here'])
     clean = {r.doc_id: r.text for r in pii.without_personal_data(docs).collect()}
     assert "<EMAIL>" in clean[0] and "a.b@" not in clean[0] and clean[1] is None and clean[3] == "plain words only"
