@@ -55,12 +55,11 @@ def blocks(bits: list[int], parts: int) -> list[list[int]]:
     return [bits[a:b] for a, b in zip(cut, cut[1:])]
 
 
-def shard_links(fp: np.ndarray, shard: np.ndarray, radius: int, at_once: int = 2_000_000) -> np.ndarray:
-    """For each fingerprint the smallest place in its shard that links reach; ``shard`` is sorted, 0, 0, 1, ..."""
+def shard_pairs(fp: np.ndarray, shard: np.ndarray, radius: int, at_once: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``a, b`` of all links inside shards, in portions; ``shard`` is sorted, 0, 0, 1, ..."""
     n = len(fp)
-    label = np.arange(n)
     if n < 2:
-        return label
+        return
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     sizes = np.diff(np.r_[first, n])
     root = np.repeat(first, sizes)
@@ -80,7 +79,7 @@ def shard_links(fp: np.ndarray, shard: np.ndarray, radius: int, at_once: int = 2
     # Ask: pairs of query and node, one level of the trees at a time, some queries at once.
     asks = np.flatnonzero(np.repeat(sizes, sizes) > 1)
     if not len(asks):
-        return label
+        return
     slots = np.cumsum(np.repeat(sizes, sizes)[asks]) // at_once
     for chunk in np.split(asks, np.flatnonzero(np.diff(slots)) + 1):
         query, here = chunk, root[chunk]
@@ -95,7 +94,13 @@ def shard_links(fp: np.ndarray, shard: np.ndarray, radius: int, at_once: int = 2
             count = hi - lo
             query = np.repeat(query, count)
             here = node[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        a, b = np.concatenate(a), np.concatenate(b)
+        yield np.concatenate(a), np.concatenate(b)
+
+
+def shard_links(fp: np.ndarray, shard: np.ndarray, radius: int, at_once: int = 2_000_000) -> np.ndarray:
+    """For each fingerprint the smallest place in its shard that links reach; ``shard`` is sorted, 0, 0, 1, ..."""
+    label = np.arange(len(fp))
+    for a, b in shard_pairs(fp, shard, radius, at_once):
         while True:  # union: the larger of the two labels takes the smaller, then labels of labels
             la, lb = label[a], label[b]
             if (la == lb).all():
@@ -206,25 +211,112 @@ def near_duplicates(docs: DataFrame, radius: int = 3, limit: int = 8192, id_colu
     return marked.join(by_fp, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, all columns as they are.
+def bands_of(text: str, rows: int = 6, bands: int = 28) -> np.ndarray:
+    """A 64-bit key for each band of ``rows`` least hashes over the set of five-word shingles (A-Z lower-cased).
+
+    Two texts share a band with probability ``similarity ** rows``; at 0.8 all 28 bands miss once in five thousand pairs.
+    """
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    seen = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    code = np.array([seen[w] for w in words] or [0], dtype=np.uint64)
+    n, mix = max(1, len(code) - 4), np.uint64(0x9E3779B97F4A7C15)
+    shingle = np.zeros(n, np.uint64)
+    for i in range(min(5, len(code))):
+        shingle = (shingle ^ code[i : i + n]) * mix
+        shingle ^= shingle >> np.uint64(29)
+    shingle = np.unique(shingle)
+    factor = np.random.default_rng(SEED).integers(0, 2**64, (2, rows * bands), dtype=np.uint64, endpoint=False)
+    least = np.full(rows * bands, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingle), 4096):
+        part = shingle[at : at + 4096, None] * (factor[0] | np.uint64(1)) + factor[1]
+        least = np.minimum(least, part.min(axis=0))
+    key = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        key = (key ^ column) * mix
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def signatures(texts: Column) -> Column:
+    @F.pandas_udf("struct<fp: long, bands: array<long>>")
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        fp = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": fp, "bands": [bands_of(t) for t in texts]})
+
+    return sign(texts)
+
+
+def band_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """``a, b`` (ids, a > b) within ``radius`` in a shard of ``rows (id, fp, shard)``, found through its BK-tree."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            ids = rows["id"].to_numpy()
+            for a, b in shard_pairs(rows["fp"].to_numpy().view(np.uint64), pd.factorize(rows["shard"])[0], radius):
+                keep = ids[a] > ids[b]
+                yield pd.DataFrame({"a": ids[a[keep]], "b": ids[b[keep]]})
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            if sum(map(len, held)) >= 100_000:
+                rows = pd.concat(held, ignore_index=True)
+                tail = int((rows["shard"] == rows["shard"].iloc[-1]).to_numpy().sum())  # the open shard waits
+                held = [rows.iloc[len(rows) - tail :]]
+                yield from solve(rows.iloc[: len(rows) - tail].reset_index(drop=True))
+        if held:
+            yield from solve(pd.concat(held, ignore_index=True))
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInPandas(link, "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 14) -> DataFrame:
+    """``docs`` with one row of each group of near copies (the first), all columns as they are.
 
-    A link of fingerprints is taken only between rows whose sets of five-word shingles have a Jaccard similarity of
-    ``similarity`` or more with the component's kept row; others stay. Rows of equal text go down to one (least id).
+    A link is a pair of texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; every
+    link is verified on the whole texts. Rows of equal text (null is empty) go down to one first, by digest. Then texts
+    that share a band of least hashes form a shard, for at 0.8 fingerprints often differ by ten bits, too many to cut
+    them into blocks. In a first round each text of a shard meets the shard's first text only, so a large group of copies
+    costs one candidate a member and shard, never its pairs. In the second round the rows that are left meet through the
+    shards' BK-trees. Links of both rounds make the groups. An empty table gives no rows; ties go to the earlier row.
     """
-    id_ = free_name(docs, "row_mark")
-    marked = stage(docs.withColumn(id_, F.monotonically_increasing_id()), "marked_documents")
-    found = near_duplicates(marked, radius, id_column=id_)
-    doubled = stage(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(id_), F.col("component_id").alias("kept")), "doubled")
-    kept = marked.select(F.col(id_).alias("kept"), whole_text().alias("kept_text"))
+    mark = free_name(docs, "row_mark")
+    marked = stage(docs.withColumn(mark, F.monotonically_increasing_id()), "marked_documents")
+    texts = marked.select(F.col(mark).alias("id"), whole_text().alias("own"))
+    signed = stage(texts.select("id", F.sha2("own", 256).alias("same"), signatures(F.col("own")).alias("s")).select("id", "same", "s.fp", "s.bands"), "signatures")
+    first = stage(signed.groupBy("same").agg(F.min("id").alias("id")).select("id"), "first_of_equal")
+    left = signed.join(first, "id", "left_semi").select("id", "fp", "bands")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    both = doubled.join(marked.select(id_, whole_text().alias("own_text")), id_).join(kept, "kept")
-    gone = both.where(alike("own_text", "kept_text") >= similarity).select(id_)
-    return marked.join(stage(gone, "gone"), id_, "left_anti").drop(id_)
+    def copies(pairs: DataFrame, label: str) -> DataFrame:
+        """Ids that verified links lead to an earlier id."""
+        pairs = stage(pairs, f"candidates_{label}")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("own").alias("text_a")), "a")
+        both = both.join(texts.select(F.col("id").alias("b"), F.col("own").alias("text_b")), "b")
+        links = stage(both.where(alike("text_a", "text_b") >= similarity).select("a", "b"), f"links_{label}")
+        return stage(components(links).where("node <> root").select(F.col("node").alias("id")), f"copies_{label}")
+
+    def shards(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        rows = stage(rows.select("id", "fp", F.explode("bands").alias("shard")), f"shards_{label}")
+        heads = rows.groupBy("shard").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
+        return rows, stage(heads.select("shard", F.col("head.id").alias("head"), F.col("head.fp").alias("head_fp")), f"heads_{label}")
+
+    rows, heads = shards(left, "star")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= radius
+    star = rows.join(heads, "shard").where(near & (F.col("id") != F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    gone = copies(star, "star")
+    rows, heads = shards(left.join(gone, "id", "left_anti"), "tree")
+    gone = gone.unionByName(copies(band_pairs(rows.join(heads.select("shard"), "shard", "left_semi").select("id", "fp", "shard"), radius), "tree"))
+    kept = first.join(gone, "id", "left_anti").select(F.col("id").alias(mark))
+    return marked.join(stage(kept, "kept"), mark, "left_semi").select(*docs.columns)
 
 
 def five_words(text: str) -> set:

@@ -56,6 +56,26 @@ def test_near_duplicates_components(spark, limit):
     assert simhash.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_keep_one_matches_all_pairs(spark):
+    rng = random.Random(8)
+    texts = [words(rng, rng.choice([3, 60, 120, 400])) for _ in range(30)]
+    for i in range(0, 24):  # edits in one to four places: some stay above 0.8, some fall below
+        own = texts[i].split()
+        for _ in range(1 + i % 4):
+            own[rng.randrange(len(own))] = "edited"
+        texts.append(" ".join(own))
+    texts += [texts[1].upper(), texts[2], texts[2], None, "", ""]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(texts):
+            for j, y in enumerate(texts[:i]):
+                if simhash.jaccard(x or "", y or "") >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs_of(spark, texts).coalesce(1).withColumn("row_mark", F.lit(1))).collect())
+    assert kept == sorted(set(root))
+    assert simhash.keep_one(docs_of(spark, []).limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r.root for r in simhash.components(edges).collect()} == {0}
