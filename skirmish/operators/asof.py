@@ -81,12 +81,14 @@ def warned(index: Column) -> Column:
 
 
 def alert_table(specs: DataFrame, max_clock: int, min_clock: int = -120) -> DataFrame:
-    """All scheduled alerts of a game up to ``max_clock``: (event_id, index, event_time, warn_before, fire_time).
+    """All scheduled alerts that fire up to ``max_clock`` and some beyond: (event_id, index, event_time, warn_before, fire_time).
 
     The table depends on the schedule only (a few hundred rows per hour of clock), so it is
     evaluated once and joined to the clocks of any number of matches.
     """
-    timed = schedule(specs.where("kind <> 'after_trigger'"), F.lit(min_clock), F.lit(max_clock + 600))
+    leads = F.greatest(F.coalesce(F.array_max("warn"), F.lit(0)), F.coalesce(F.array_max("first_warn"), F.lit(0)))
+    lead = max(600, specs.agg(F.max(leads)).first()[0] or 0)  # no event is warned of earlier than this
+    timed = schedule(specs.where("kind <> 'after_trigger'"), F.lit(min_clock), F.lit(max_clock + lead))
     occ = timed.select("event_id", "kind", "warn", "first_warn", F.inline("occurrences"))
     alerts = occ.select("event_id", "index", "event_time", F.explode(warned(F.col("index"))).alias("warn_before"))
     return alerts.withColumn("fire_time", F.col("event_time") - F.col("warn_before"))

@@ -19,27 +19,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.config import Config
-from skirmish.session import settle_dim, settle_dims
-
-MAX_RECIPE_DEPTH = 12
-
-
-def component_closure(edges: DataFrame, depth: int = MAX_RECIPE_DEPTH) -> DataFrame:
-    """(item, component) pairs reachable over at most ``depth`` recipe steps."""
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE reach(item, component, step) AS (
-            SELECT item, component, 1 FROM {edges}
-            UNION ALL
-            SELECT r.item, e.component, r.step + 1
-            FROM reach r JOIN {edges} e ON e.item = r.component
-            WHERE r.step < {depth}
-        )
-        SELECT DISTINCT item, component FROM reach
-        """,
-        edges=edges,
-        depth=int(depth),
-    )
+from skirmish.session import settle_dim, settle_dims, stage
+
+def component_closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(item, component) pairs reachable over any number of recipe steps, or over at most ``depth``.
+
+    Only the pairs of the last step are taken further and known ones are left out, so cycles and diamonds end.
+    """
+    steps = edges.select(F.col("item").alias("component"), F.col("component").alias("part")).distinct()
+    known = fresh = stage(edges.select("item", "component").distinct(), "closure_1")
+    step = 1
+    while depth is None or step < depth:
+        further = fresh.join(steps, "component").select("item", F.col("part").alias("component")).distinct()
+        step += 1
+        fresh = stage(further.join(known, ["item", "component"], "left_anti"), f"closure_{step}")
+        if not fresh.head(1):
+            break
+        known = known.unionByName(fresh)
+    return known
 
 
 def buyable(items: DataFrame) -> DataFrame:

@@ -50,9 +50,11 @@ def kth_largest(df: DataFrame, columns: Sequence[str], k: int) -> tuple[int, ...
     remaining = k
     for name in columns:
         value = 0
-        top = rest.agg(F.max(name)).first()[0]
+        low, top = rest.agg(F.min(name), F.max(name)).first()
         if top is None:
             return None
+        if low < 0:
+            raise ValueError(f"{name} holds {low}: the selection is defined for non-negative values")
         shift = max(0, (int(top).bit_length() - 1) // _DIGIT_BITS * _DIGIT_BITS)
         while shift >= 0:
             digit = F.shiftright(F.col(name), shift).bitwiseAND(_DIGITS - 1)

@@ -17,10 +17,11 @@ from skirmish.operators.rows import lag_sliced, running_sum_sliced
 SLICE_SEC = 3600.0
 
 
-def with_session(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], gap: float, slice_width: float = SLICE_SEC) -> DataFrame:
-    """Adds ``session``: a new one starts when at least ``gap`` passed since the previous row."""
+def with_session(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], gap: float, slice_width: float = SLICE_SEC, closed: bool = False) -> DataFrame:
+    """Adds ``session``: a new one starts when at least ``gap`` (``closed``: more) passed since the previous row."""
     lagged = lag_sliced(df, keys, time, order, time, slice_width, "before_")
-    starts = (F.col("before_").isNull() | (F.col(time) - F.col("before_") >= gap)).cast("int")
+    passed = F.col(time) - F.col("before_")
+    starts = (F.col("before_").isNull() | (passed > gap if closed else passed >= gap)).cast("int")
     return running_sum_sliced(lagged, keys, time, order, starts, slice_width, "session").drop("before_")
 
 
@@ -51,13 +52,16 @@ def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Cal
     return placed.mapInPandas(run, schema)
 
 
-def anchored_groups(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], gap: float) -> DataFrame:
-    """Adds ``head``: time of the first row of the row's group; a group ends ``gap`` after its head."""
-    pieces = with_session(df, keys, time, order, gap)
+def anchored_groups(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], gap: float, closed: bool = False) -> DataFrame:
+    """Adds ``head``: time of the first row of the row's group; a group ends ``gap`` after its head.
+
+    ``closed``: a row exactly ``gap`` after the head still belongs to it.
+    """
+    pieces = with_session(df, keys, time, order, gap, closed=closed)
 
     def step(head, row):
         now = getattr(row, time)
-        head = now if head is None or now - head >= gap else head
+        head = now if head is None or (now - head > gap if closed else now - head >= gap) else head
         return head, (head,)
 
     dtype = df.schema[time].dataType.simpleString()

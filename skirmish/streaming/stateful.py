@@ -12,19 +12,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 IDLE_MS = 3 * 3600 * 1000
 
 
-def keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, out_schema: str, time: str = "ts") -> DataFrame:
+def keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, out_schema: str, time: str = "ts", finish: Callable | None = None) -> DataFrame:
     """``step(state: dict, row) -> list of output tuples`` over a key's rows in order.
 
     The state is a small dict kept as JSON in the state store and dropped once the watermark of
     ``time`` is three hours past the key's last row (a match is over by then). Rows of one
-    micro-batch are ordered before they are applied.
+    micro-batch are ordered before they are applied. ``finish(state)`` gives the last output tuples of a dropped key.
     """
     order = list(order)
     names = [part.split()[0] for part in out_schema.split(", ")]
 
     def run(key, frames, state: GroupState):
         if state.hasTimedOut:
+            memo = json.loads(state.get[0])
             state.remove()
+            last_out = [(*key, *values) for values in finish(memo)] if finish else []
+            if last_out:
+                yield pd.DataFrame(last_out, columns=names)
             return
         memo = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
@@ -79,7 +83,7 @@ def merged_voices(
 ) -> DataFrame:
     """One message per merge group (anchored at its first alert) and whether it is spoken.
 
-    A group is closed by the first alert beyond the window; the limit between voices does not hold
+    A group is closed by the first alert beyond the window, or when its match is over; the limit between voices does not hold
     back the top priority.
     """
 
@@ -104,7 +108,7 @@ def merged_voices(
         memo["group"] = [*(group or []), [fire, priority, event]]
         return out
 
-    return keyed(alerts, [match], ["fire_time"], step, f"{key_schema}, head int, alerts int, event_id string, priority int, spoken boolean")
+    return keyed(alerts, [match], ["fire_time"], step, f"{key_schema}, head int, alerts int, event_id string, priority int, spoken boolean", finish=close)
 
 
 def first_hints(seen: DataFrame, match: str, key_schema: str) -> DataFrame:

@@ -187,13 +187,13 @@ def trigger_alerts(spark, d):
     return asof.trigger_alerts(kept, _specs(spark), "sec").select("user_id", "sec", "index", "event_time", "warn_before", "fire_time")
 
 
-@query("merge_groups", T.with_sql(EV, HEADS_SQL.format(gap=40000).replace("WHERE event_type = 'error'", ""),) + """
+@query("merge_groups", T.with_sql(EV, HEADS_SQL.format(gap=40001).replace("WHERE event_type = 'error'", ""),) + """
 , g AS (SELECT DISTINCT e.user_id, e.event_id, e.event_type, e.k, e.sec, (SELECT max(h.sec) FROM heads h WHERE h.user_id = e.user_id AND h.sec <= e.sec) AS head FROM ev e)
 SELECT user_id, head, count(*) AS alerts, arg_min(event_id, struct_pack(p := -(k % 4), a := sec, i := event_id)) AS voice_event FROM g GROUP BY user_id, head""")
 def merge_groups(spark, d):
     """Anchored merge window: everything within the window of the group's first alert, one voice each."""
     e = T2.events(spark, d).select("user_id", "event_id", "event_type", "k", "sec")
-    g = sessions.anchored_groups(e, ["user_id"], "sec", ["sec", "event_id"], 40000)
+    g = sessions.anchored_groups(e, ["user_id"], "sec", ["sec", "event_id"], 40000, closed=True)
     return g.groupBy("user_id", "head").agg(
         F.count("*").alias("alerts"), F.min_by("event_id", F.struct(-(F.col("k") % 4), "sec", "event_id")).alias("voice_event")
     )

@@ -204,14 +204,14 @@ tq AS (SELECT a.request, a.enemy, p.c, p.o, p.s, p.main, 1.5 * p.c + 3.0 * p.o +
 
 
 @query("threat_ranking", T.with_sql(*BASE, ASKS, THREAT) + """
-SELECT request, enemy, round(coalesce(3.0 * (3.0 - farm), 0) + coalesce(0.5 * greatest(0, lp) * (c + o), 0) + coalesce(-0.5 * vp, 0), 1) AS score,
+SELECT request, enemy, round(coalesce(3.0 * (3.0 - farm), 0) + coalesce(0.5 * greatest(0, lp) * (c + o), 0) + coalesce(-0.5 * vp, 0), 2) AS score,
   concat_ws(',', CASE WHEN main = 'core' AND farm <= 1.8 THEN 'carry' ELSE coalesce(main, 'core') END, CASE WHEN lp >= 3.0 THEN 'late' END, CASE WHEN -vp >= 3.0 THEN 'matchup' END) AS reasons FROM tq""")
 def threat_ranking(spark, d):
     counts = stage(counts_of(spark, d, ("hero",)), "counts")
     prof = threats.threat_profile(hero_ops.role_shares(counts), hero_ops.late_strength(counts))
     q = asks(spark, d).select("request", "bucket", F.col("hero").alias("my_hero"), "enemy")
     out = threats.rank_threats(q, stage(prof, "profile"), hero_ops.matchups(counts, 800.0), T.THREAT)
-    return out.select("request", "enemy", F.round("score", 1).alias("score"), "reasons")
+    return out.select("request", "enemy", "score", "reasons")
 
 
 @query("threat_ranking_counts", T.with_sql(*CUBE_BASE, ASKS) + """
