@@ -248,74 +248,104 @@ def signatures(texts: Column) -> Column:
     return sign(texts)
 
 
-def band_pairs(rows: DataFrame, radius: int) -> DataFrame:
-    """``a, b`` (ids, a > b) within ``radius`` in a shard of ``rows (id, fp, shard)``, found through its BK-tree."""
+def block_pairs(rows: DataFrame, radius: int, limit: int = 512) -> DataFrame:
+    """``a, b`` (ids, a > b) of different ``root`` within ``radius`` in a shard of ``rows (id, fp, shard, root)``.
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            ids = rows["id"].to_numpy()
-            for a, b in shard_pairs(rows["fp"].to_numpy().view(np.uint64), pd.factorize(rows["shard"])[0], radius):
-                keep = ids[a] > ids[b]
-                yield pd.DataFrame({"a": ids[a[keep]], "b": ids[b[keep]]})
+    A shard over ``limit`` rows is cut into parts by a hash of the id, and every two parts meet in a block of their own,
+    so that no task holds a whole hot shard. No pair is left out.
+    """
 
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solve(rows: pd.DataFrame) -> pd.DataFrame:
+            ids, root, fp, part = rows["id"].to_numpy(), rows["root"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["part"].to_numpy()
+            block = np.stack([rows[c].to_numpy() for c in ("shard", "lo", "hi")])
+            starts = np.r_[0, np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1, len(rows)]
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in zip(starts[:-1], starts[1:]):
+                own = slice(i, j)
+                near = np.bitwise_count(fp[own, None] ^ fp[None, own]) <= radius
+                near &= (ids[own, None] > ids[None, own]) & (root[own, None] != root[None, own])
+                if block[1, i] != block[2, i]:
+                    near &= part[own, None] != part[None, own]
+                x, y = np.nonzero(near)
+                a.append(ids[own][x])
+                b.append(ids[own][y])
+            return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+        held: pd.DataFrame | None = None
         for batch in batches:
             if not len(batch):
                 continue
-            held.append(batch)
-            if sum(map(len, held)) >= 100_000:
-                rows = pd.concat(held, ignore_index=True)
-                tail = int((rows["shard"] == rows["shard"].iloc[-1]).to_numpy().sum())  # the open shard waits
-                held = [rows.iloc[len(rows) - tail :]]
-                yield from solve(rows.iloc[: len(rows) - tail].reset_index(drop=True))
-        if held:
-            yield from solve(pd.concat(held, ignore_index=True))
-
-    return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInPandas(link, "a long, b long").distinct()
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 14) -> DataFrame:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            same = (rows[["shard", "lo", "hi"]] == rows[["shard", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
+            tail = int(same.sum())  # the open block waits
+            yield solve(rows.iloc[: len(rows) - tail])
+            held = rows.iloc[len(rows) - tail :]
+        if held is not None:
+            yield solve(held)
+
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / limit).alias("parts"), (F.min("root") < F.max("root")).alias("open")).where("open").drop("open")
+    cut = rows.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    met = cut.select("shard", "id", "root", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    met = met.select("shard", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "root", "fp", "part")
+    return met.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi").mapInPandas(link, "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 14, stars: int = 3) -> DataFrame:
     """``docs`` with one row of each group of near copies (the first), all columns as they are.
 
     A link is a pair of texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; every
     link is verified on the whole texts. Rows of equal text (null is empty) go down to one first, by digest. Then texts
     that share a band of least hashes form a shard, for at 0.8 fingerprints often differ by ten bits, too many to cut
-    them into blocks. In a first round each text of a shard meets the shard's first text only, so a large group of copies
-    costs one candidate a member and shard, never its pairs. In the second round the rows that are left meet through the
-    shards' BK-trees. Links of both rounds make the groups. An empty table gives no rows; ties go to the earlier row.
+    them into blocks. In each of ``stars`` rounds the texts of a shard meet one text of it, first the earliest, then the
+    one with most links that was not head there yet (the base of many edited copies), so most of a large group of copies
+    costs one candidate a member and shard. In the last round all pairs of a shard that no links connect yet meet, rows
+    that are linked already included. Links of all rounds make the groups, so the number of rounds changes the work only.
+    An empty table gives no rows; ties go to the earlier row.
     """
     mark = free_name(docs, "row_mark")
     marked = stage(docs.withColumn(mark, F.monotonically_increasing_id()), "marked_documents")
     texts = marked.select(F.col(mark).alias("id"), whole_text().alias("own"))
     signed = stage(texts.select("id", F.sha2("own", 256).alias("same"), signatures(F.col("own")).alias("s")).select("id", "same", "s.fp", "s.bands"), "signatures")
     first = stage(signed.groupBy("same").agg(F.min("id").alias("id")).select("id"), "first_of_equal")
-    left = signed.join(first, "id", "left_semi").select("id", "fp", "bands")
+    rows = stage(signed.join(first, "id", "left_semi").select("id", "fp", F.explode("bands").alias("shard")), "shards")
+    members = stage(rows.join(rows.groupBy("shard").count().where("count > 1").select("shard"), "shard", "left_semi"), "members")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    def copies(pairs: DataFrame, label: str) -> DataFrame:
-        """Ids that verified links lead to an earlier id."""
-        pairs = stage(pairs, f"candidates_{label}")
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("own").alias("text_a")), "a")
         both = both.join(texts.select(F.col("id").alias("b"), F.col("own").alias("text_b")), "b")
-        links = stage(both.where(alike("text_a", "text_b") >= similarity).select("a", "b"), f"links_{label}")
-        return stage(components(links).where("node <> root").select(F.col("node").alias("id")), f"copies_{label}")
-
-    def shards(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-        rows = stage(rows.select("id", "fp", F.explode("bands").alias("shard")), f"shards_{label}")
-        heads = rows.groupBy("shard").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
-        return rows, stage(heads.select("shard", F.col("head.id").alias("head"), F.col("head.fp").alias("head_fp")), f"heads_{label}")
-
-    rows, heads = shards(left, "star")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= radius
-    star = rows.join(heads, "shard").where(near & (F.col("id") != F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    gone = copies(star, "star")
-    rows, heads = shards(left.join(gone, "id", "left_anti"), "tree")
-    gone = gone.unionByName(copies(band_pairs(rows.join(heads.select("shard"), "shard", "left_semi").select("id", "fp", "shard"), radius), "tree"))
-    kept = first.join(gone, "id", "left_anti").select(F.col("id").alias(mark))
+        return stage(both.where(alike("text_a", "text_b") >= similarity).select("a", "b"), f"links_{label}")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        """``id, root, degree`` of linked rows."""
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        found = components(links).join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
+        return stage(found.select(F.col("node").alias("id"), "root", "degree"), "roots")
+
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= radius
+    now = members.withColumns({"root": F.col("id"), "degree": F.lit(0).cast("long")})
+    links = tested = heads = None
+    for n in range(stars):
+        free = now if heads is None else now.join(heads.select("shard", F.col("head.id").alias("id")), ["shard", "id"], "left_anti")
+        head = F.min_by(F.struct("id", "fp", "root"), F.struct(-F.col("degree"), "id")).alias("head")
+        new = stage(free.groupBy("shard").agg(head), f"heads_{n}")
+        star = now.join(new, "shard").where(near & (F.col("root") != F.col("head.root")))
+        star = star.select(F.greatest("id", "head.id").alias("a"), F.least("id", "head.id").alias("b")).distinct()
+        star = stage(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), f"candidates_{n}")
+        found = verified(star, str(n))
+        some = bool(found.head(1))
+        heads, tested = (new, star) if heads is None else (heads.unionByName(new), tested.unionByName(star))
+        links = found if links is None else links.unionByName(found)
+        if not some:
+            break
+        now = members.join(rooted(links), "id", "left").select("id", "fp", "shard", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    rest = stage(block_pairs(now.drop("degree"), radius).join(tested, ["a", "b"], "left_anti"), "candidates_rest")
+    gone = components(links.unionByName(verified(rest, "rest"))).where("node <> root").select(F.col("node").alias("id"))
+    kept = first.join(stage(gone, "copies"), "id", "left_anti").select(F.col("id").alias(mark))
     return marked.join(stage(kept, "kept"), mark, "left_semi").select(*docs.columns)
 
 

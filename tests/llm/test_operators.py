@@ -76,6 +76,37 @@ def test_keep_one_matches_all_pairs(spark):
     assert simhash.keep_one(docs_of(spark, []).limit(0)).count() == 0
 
 
+def groups_of(texts):
+    """The least place of each group of texts that links of 0.8 connect, by all pairs."""
+    sets, root = [simhash.five_words(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {top(i) for i in range(len(texts))}
+
+
+def test_keep_one_links_variants_through_a_base_in_the_middle(spark):
+    rng = random.Random(21)
+    base = words(rng, 200).split()
+    texts = []
+    for i in range(300):  # each variant is near the base, few variants are near each other
+        own = list(base)
+        for at in rng.sample(range(5, 195, 10), 4):
+            own[at] = f"v{i}x{at}"
+        texts.append(" ".join(own))
+    texts.insert(150, " ".join(base))
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, texts).coalesce(1)).collect()}
+    assert kept == groups_of(texts) == {0}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r.root for r in simhash.components(edges).collect()} == {0}
