@@ -211,11 +211,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, limit: int = 8192, id_colu
     return marked.join(by_fp, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def bands_of(text: str, rows: int = 6, bands: int = 28) -> np.ndarray:
-    """A 64-bit key for each band of ``rows`` least hashes over the set of five-word shingles (A-Z lower-cased).
-
-    Two texts share a band with probability ``similarity ** rows``; at 0.8 all 28 bands miss once in five thousand pairs.
-    """
+def shingles(text: str) -> np.ndarray:
+    """Distinct 64-bit hashes of the set of five-word shingles (A-Z lower-cased)."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -226,7 +223,15 @@ def bands_of(text: str, rows: int = 6, bands: int = 28) -> np.ndarray:
     for i in range(min(5, len(code))):
         shingle = (shingle ^ code[i : i + n]) * mix
         shingle ^= shingle >> np.uint64(29)
-    shingle = np.unique(shingle)
+    return np.unique(shingle)
+
+
+def bands_of(shingle: np.ndarray, rows: int = 6, bands: int = 28) -> np.ndarray:
+    """A 64-bit key for each band of ``rows`` least hashes over ``shingles``.
+
+    Two texts share a band with probability ``similarity ** rows``; at 0.8 all 28 bands miss once in five thousand pairs.
+    """
+    mix = np.uint64(0x9E3779B97F4A7C15)
     factor = np.random.default_rng(SEED).integers(0, 2**64, (2, rows * bands), dtype=np.uint64, endpoint=False)
     least = np.full(rows * bands, np.iinfo(np.uint64).max)
     for at in range(0, len(shingle), 4096):
@@ -239,37 +244,65 @@ def bands_of(text: str, rows: int = 6, bands: int = 28) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch_of(shingle: np.ndarray, words: int = 16) -> np.ndarray:
+    """A bit for each of ``64 * words`` places: odd where an odd number of ``shingles`` fall.
+
+    A shingle of one text only changes one bit at most, so the sketches of two texts never differ in more bits than their
+    shingle sets have shingles apart.
+    """
+    odd = np.bincount((shingle >> np.uint64(7)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def signatures(texts: Column) -> Column:
-    @F.pandas_udf("struct<fp: long, bands: array<long>>")
+    @F.pandas_udf("struct<n: long, sketch: binary, bands: array<long>>")
     def sign(texts: pd.Series) -> pd.DataFrame:
-        fp = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fp, "bands": [bands_of(t) for t in texts]})
+        sets = [shingles(t) for t in texts]
+        return pd.DataFrame({"n": [len(x) for x in sets], "sketch": [sketch_of(x).tobytes() for x in sets], "bands": [bands_of(x) for x in sets]})
 
     return sign(texts)
 
 
-def block_pairs(rows: DataFrame, radius: int, limit: int = 512) -> DataFrame:
-    """``a, b`` (ids, a > b) of different ``root`` within ``radius`` in a shard of ``rows (id, fp, shard, root)``.
+def may_link(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """False only where the 0.8 rule cannot hold (``similarity``), from sizes of shingle sets and sketches.
+
+    Sets of n and m shingles, d of them in one set only, have a similarity of (n + m - d) / (n + m + d). So it reaches s just
+    if d is at most (n + m)(1 - s) / (1 + s), and d is no less than the bits that the sketches differ in.
+    """
+    bits = np.zeros(np.broadcast_shapes(n.shape, m.shape), np.int64)
+    for word in range(sketch.shape[-1]):
+        bits += np.bitwise_count(sketch[..., word] ^ other[..., word])
+    return bits <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def words_of(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def block_pairs(rows: DataFrame, similarity: float, limit: int = 512) -> DataFrame:
+    """``a, b`` (ids, a > b) of different ``root`` that ``may_link`` in a shard of ``rows (id, n, sketch, shard, root)``.
 
     A shard over ``limit`` rows is cut into parts by a hash of the id, and every two parts meet in a block of their own,
-    so that no task holds a whole hot shard. No pair is left out.
+    so that no task holds a whole hot shard. No pair at ``similarity`` is left out.
     """
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(rows: pd.DataFrame) -> pd.DataFrame:
-            ids, root, fp, part = rows["id"].to_numpy(), rows["root"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["part"].to_numpy()
+            ids, root, size, part = (rows[c].to_numpy() for c in ("id", "root", "n", "part"))
+            sketch = words_of(rows["sketch"])
             block = np.stack([rows[c].to_numpy() for c in ("shard", "lo", "hi")])
             starts = np.r_[0, np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1, len(rows)]
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j in zip(starts[:-1], starts[1:]):
                 own = slice(i, j)
-                near = np.bitwise_count(fp[own, None] ^ fp[None, own]) <= radius
-                near &= (ids[own, None] > ids[None, own]) & (root[own, None] != root[None, own])
+                mine, its, at, where = ids[own], root[own], size[own], part[own]
+                near = (mine[:, None] > mine) & (its[:, None] != its)
                 if block[1, i] != block[2, i]:
-                    near &= part[own, None] != part[None, own]
+                    near &= where[:, None] != where
+                near &= may_link(at[:, None], sketch[own, None], at, sketch[None, own], similarity)
                 x, y = np.nonzero(near)
-                a.append(ids[own][x])
-                b.append(ids[own][y])
+                a.append(mine[x])
+                b.append(mine[y])
             return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
         held: pd.DataFrame | None = None
@@ -286,30 +319,32 @@ def block_pairs(rows: DataFrame, radius: int, limit: int = 512) -> DataFrame:
 
     sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / limit).alias("parts"), (F.min("root") < F.max("root")).alias("open")).where("open").drop("open")
     cut = rows.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    met = cut.select("shard", "id", "root", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    met = met.select("shard", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "root", "fp", "part")
+    met = cut.select("shard", "id", "root", "n", "sketch", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    met = met.select("shard", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "root", "n", "sketch", "part")
     return met.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi").mapInPandas(link, "a long, b long").distinct()
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 14, stars: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFrame:
     """``docs`` with one row of each group of near copies (the first), all columns as they are.
 
     A link is a pair of texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; every
     link is verified on the whole texts. Rows of equal text (null is empty) go down to one first, by digest. Then texts
     that share a band of least hashes form a shard, for at 0.8 fingerprints often differ by ten bits, too many to cut
-    them into blocks. In each of ``stars`` rounds the texts of a shard meet one text of it, first the earliest, then the
-    one with most links that was not head there yet (the base of many edited copies), so most of a large group of copies
-    costs one candidate a member and shard. In the last round all pairs of a shard that no links connect yet meet, rows
-    that are linked already included. Links of all rounds make the groups, so the number of rounds changes the work only.
+    them into blocks. Pairs are left unverified only where ``may_link`` proves that they are no link. In each of
+    ``stars`` rounds the texts of a shard meet one text of it, first the earliest, then the one with most links that was
+    not head there yet (the base of many edited copies), so most of a large group of copies costs one candidate a member
+    and shard. In the last round all pairs of a shard that no links connect yet meet, rows that are linked already
+    included. Links of all rounds make the groups, so the number of rounds changes the work only.
     An empty table gives no rows; ties go to the earlier row.
     """
     mark = free_name(docs, "row_mark")
     marked = stage(docs.withColumn(mark, F.monotonically_increasing_id()), "marked_documents")
     texts = marked.select(F.col(mark).alias("id"), whole_text().alias("own"))
-    signed = stage(texts.select("id", F.sha2("own", 256).alias("same"), signatures(F.col("own")).alias("s")).select("id", "same", "s.fp", "s.bands"), "signatures")
+    signed = stage(texts.select("id", F.sha2("own", 256).alias("same"), signatures(F.col("own")).alias("s")).select("id", "same", "s.n", "s.sketch", "s.bands"), "signatures")
     first = stage(signed.groupBy("same").agg(F.min("id").alias("id")).select("id"), "first_of_equal")
-    rows = stage(signed.join(first, "id", "left_semi").select("id", "fp", F.explode("bands").alias("shard")), "shards")
-    members = stage(rows.join(rows.groupBy("shard").count().where("count > 1").select("shard"), "shard", "left_semi"), "members")
+    rows = stage(signed.join(first, "id", "left_semi").select("id", F.explode("bands").alias("shard")), "shards")
+    shared = rows.join(rows.groupBy("shard").count().where("count > 1").select("shard"), "shard", "left_semi")
+    members = stage(shared.join(signed.select("id", "n", "sketch"), "id"), "members")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -326,14 +361,17 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 14, stars:
         found = components(links).join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
         return stage(found.select(F.col("node").alias("id"), "root", "degree"), "roots")
 
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= radius
+    @F.pandas_udf("boolean")
+    def near(n: pd.Series, sketch: pd.Series, m: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series(may_link(n.to_numpy(), words_of(sketch), m.to_numpy(), words_of(other), similarity))
+
     now = members.withColumns({"root": F.col("id"), "degree": F.lit(0).cast("long")})
     links = tested = heads = None
     for n in range(stars):
         free = now if heads is None else now.join(heads.select("shard", F.col("head.id").alias("id")), ["shard", "id"], "left_anti")
-        head = F.min_by(F.struct("id", "fp", "root"), F.struct(-F.col("degree"), "id")).alias("head")
+        head = F.min_by(F.struct("id", "n", "sketch", "root"), F.struct(-F.col("degree"), "id")).alias("head")
         new = stage(free.groupBy("shard").agg(head), f"heads_{n}")
-        star = now.join(new, "shard").where(near & (F.col("root") != F.col("head.root")))
+        star = now.join(new, "shard").where(F.col("root") != F.col("head.root")).where(near("n", "sketch", "head.n", "head.sketch"))
         star = star.select(F.greatest("id", "head.id").alias("a"), F.least("id", "head.id").alias("b")).distinct()
         star = stage(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), f"candidates_{n}")
         found = verified(star, str(n))
@@ -342,8 +380,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 14, stars:
         links = found if links is None else links.unionByName(found)
         if not some:
             break
-        now = members.join(rooted(links), "id", "left").select("id", "fp", "shard", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    rest = stage(block_pairs(now.drop("degree"), radius).join(tested, ["a", "b"], "left_anti"), "candidates_rest")
+        now = members.join(rooted(links), "id", "left").select("id", "n", "sketch", "shard", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    rest = stage(block_pairs(now.drop("degree"), similarity).join(tested, ["a", "b"], "left_anti"), "candidates_rest")
     gone = components(links.unionByName(verified(rest, "rest"))).where("node <> root").select(F.col("node").alias("id"))
     kept = first.join(stage(gone, "copies"), "id", "left_anti").select(F.col("id").alias(mark))
     return marked.join(stage(kept, "kept"), mark, "left_semi").select(*docs.columns)

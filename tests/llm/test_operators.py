@@ -107,6 +107,25 @@ def test_keep_one_links_variants_through_a_base_in_the_middle(spark):
     assert kept == groups_of(texts) == {0}
 
 
+def test_pairs_at_the_rule_are_never_ruled_out(spark):
+    rng = random.Random(22)
+    pairs = []
+    for i in range(300):  # a tail that leaves 0.8 just reached; some with a passage repeated many times
+        x = words(rng, 200)
+        tail = words(rng, 48)
+        pairs.append((x, f"{x} {tail}"))
+    far = [(x, y) for x, y in pairs if (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count() > 14]
+    x = words(rng, 250)
+    far.append((x, x + f" {words(rng, 9)}" * 40))
+    assert all(simhash.jaccard(x, y) >= 0.8 for x, y in [*pairs, *far]) and len(far) > 2
+    for x, y in [*pairs, *far]:
+        a, b = simhash.shingles(x), simhash.shingles(y)
+        sizes = np.array([len(a)]), np.array([len(b)])
+        assert simhash.may_link(sizes[0], simhash.sketch_of(a)[None], sizes[1], simhash.sketch_of(b)[None], 0.8).all()
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, [t for p in far for t in p]).coalesce(1)).collect()}
+    assert kept == set(range(0, 2 * len(far), 2))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r.root for r in simhash.components(edges).collect()} == {0}
