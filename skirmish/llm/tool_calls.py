@@ -7,6 +7,9 @@ calls spread by identifier, so that neither a long chain nor a conversation with
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,23 +49,69 @@ def valid(name: Column, arguments: Column, schemas: dict[str, dict[str, str]]) -
     return out
 
 
+class Literal(str):
+    """A JSON number as it is written."""
+
+
+class Members(list):
+    """The pairs of a JSON object, repeated keys included."""
+
+
+def refuse(constant: str):
+    raise ValueError(constant)  # NaN and Infinity are no JSON
+
+
+def written(value) -> str:
+    if isinstance(value, Literal):
+        return str(value)
+    if isinstance(value, Members):
+        return "{" + ",".join(f"{written(k)}:{written(v)}" for k, v in sorted(value, key=lambda pair: pair[0])) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(written, value)) + "]"
+    if isinstance(value, str):
+        plain = json.dumps(value, ensure_ascii=False)
+        return json.dumps(value) if any("\ud800" <= c <= "\udfff" for c in plain) else plain
+    return json.dumps(value)
+
+
+def canonical(text: str) -> str:
+    """JSON text with the keys of every level in order and every value in its type; other text becomes a JSON string."""
+    try:
+        return written(json.loads(text, parse_int=Literal, parse_float=Literal, parse_constant=refuse, object_pairs_hook=Members))
+    except (ValueError, RecursionError):
+        return written(text)
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """``call_id, name, place, has_result, is_valid, n_calls, n_results, json`` for each identifier of ``calls``.
+    """``call_id, name, place, has_result, is_valid, n_calls, n_results, json, canonical`` for each identifier of ``calls``.
 
     ``calls``: ``call_id, after, name, arguments``; ``results``: ``call_id, content``. Rows without identifier are left
     out. Of rows with the same identifier the least (name, arguments, after) or content counts, their numbers are
-    returned. A result without call has no row; a call in a cycle has a null place. ``json`` has its keys in order.
+    returned. A result without call has no row; a call in a cycle has a null place. ``json`` has its keys in order and
+    every argument as a string; ``canonical`` is the same record with the arguments in their types and the keys of every
+    level in order (see ``canonical``).
     """
     first = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("c"), F.count("*").alias("n_calls"))
     one = stage(first.select("call_id", "c.name", "c.arguments", "c.after", "n_calls"), "calls")
     answers = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     linked = one.join(depths(one.select("call_id", "after")).withColumnRenamed("depth", "place"), "call_id").join(answers, "call_id", "left")
-    keys = F.array_sort(F.json_object_keys("arguments"))
+    keys = F.array_sort(F.array_distinct(F.json_object_keys("arguments")))  # a repeated key would fail the map
     ordered = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.from_json("arguments", "map<string, string>"), k))))
     record = F.struct("after", ordered.alias("arguments"), F.col("call_id").alias("id"), "name", F.col("place").alias("place"), F.col("content").alias("result"))
+
+    @F.pandas_udf("string")
+    def in_order(texts: pd.Series) -> pd.Series:
+        return texts.map(canonical, na_action="ignore")
+
+    def inner(*fields: Column) -> Column:
+        text = F.to_json(F.struct(*fields))
+        return F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))
+
+    rest = inner(F.col("call_id").alias("id"), F.col("name"), F.col("place"), F.col("content").alias("result"))
+    typed = F.concat(F.lit("{"), F.concat_ws(",", inner(F.col("after")), F.concat(F.lit('"arguments":'), in_order("arguments")), rest), F.lit("}"))
     return linked.select(
         "call_id", "name", "place", F.col("n_results").isNotNull().alias("has_result"), valid(F.col("name"), F.col("arguments"), schemas or SCHEMAS).alias("is_valid"),
-        "n_calls", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.to_json(record).alias("json"),
+        "n_calls", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.to_json(record).alias("json"), typed.alias("canonical"),
     )
 
 

@@ -218,6 +218,20 @@ def test_tool_calls(spark):
     assert '"arguments":{"chars":"2","words":"1"}' in got["a"].json
 
 
+def test_canonical_calls_keep_types_and_sort_every_level(spark):
+    one = '{"b": {"y": [true, null, {"q": 1, "p": "2"}], "x": 12345678901234567890123456789012345678901.5}, "a": 2}'
+    two = '{"a": 2, "b": {"x": 12345678901234567890123456789012345678901.5, "y": [true, null, {"p": "2", "q": 1}]}}'
+    arguments = [one, two, '{"a": 2}', '{"a": "2"}', '{"a": 1, "a": 2}', "no json {", None]
+    calls = spark.createDataFrame([(str(i), None if i else "x", "ask", a) for i, a in enumerate(arguments)], "call_id string, after string, name string, arguments string")
+    results = spark.createDataFrame([("0", 'r"')], "call_id string, content string")
+    got = {int(r.call_id): r.canonical for r in tool_calls.link_calls(calls, results).collect()}
+    whole = '{"a":2,"b":{"x":12345678901234567890123456789012345678901.5,"y":[true,null,{"p":"2","q":1}]}}'
+    assert got[0] == '{"after":"x","arguments":%s,"id":"0","name":"ask","place":0,"result":"r\\""}' % whole
+    inside = ["", whole, '{"a":2}', '{"a":"2"}', '{"a":1,"a":2}', '"no json {"']
+    assert all(got[i] == '{"arguments":%s,"id":"%d","name":"ask","place":0}' % (inside[i], i) for i in range(1, 6))
+    assert got[6] == '{"id":"6","name":"ask","place":0}'
+
+
 def test_cutting_stock_holds_the_demand():
     demand = {3: 50, 5: 40, 9: 11, 10: 3}
     held = {}
