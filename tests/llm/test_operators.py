@@ -126,6 +126,17 @@ def test_pairs_at_the_rule_are_never_ruled_out(spark):
     assert kept == set(range(0, 2 * len(far), 2))
 
 
+def test_block_pairs_cut_a_hot_shard_without_loss(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.r_[base[rng.random(100) < 0.93], rng.integers(0, 2**63, 4, dtype=np.uint64)] for _ in range(60)]
+    rows = [(i, len(x), bytearray(simhash.sketch_of(x).tobytes()), 7, i % 20) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "id long, n long, sketch binary, shard long, root long")
+    got = {(r.a, r.b) for r in simhash.block_pairs(table, 0.8, limit=8).collect()}
+    alike = {(i, j) for i in range(60) for j in range(i) if i % 20 != j % 20 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert alike and alike <= got and all(i > j and i % 20 != j % 20 for i, j in got)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r.root for r in simhash.components(edges).collect()} == {0}
