@@ -16,6 +16,7 @@ from skirmish.llm.packing import pack
 from skirmish.llm.pii import personal_data
 from skirmish.llm.quality import quality
 from skirmish.llm.simhash import near_duplicates
+from skirmish.llm.spelling import spelling_groups
 from skirmish.llm.token_counts import count_tokens
 from skirmish.llm.token_files import token_digests
 from skirmish.llm.tool_calls import calls_of, link_calls
@@ -83,4 +84,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
