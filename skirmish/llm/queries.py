@@ -15,6 +15,7 @@ from skirmish.llm.licences import licence_paragraphs
 from skirmish.llm.packing import pack
 from skirmish.llm.pii import personal_data
 from skirmish.llm.quality import quality
+from skirmish.llm.repair import repair_report
 from skirmish.llm.simhash import near_duplicates
 from skirmish.llm.spelling import spelling_groups
 from skirmish.llm.token_counts import count_tokens
@@ -84,6 +85,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 @_query
 def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
