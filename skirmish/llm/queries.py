@@ -16,6 +16,7 @@ from skirmish.llm.packing import pack
 from skirmish.llm.pii import personal_data
 from skirmish.llm.quality import quality
 from skirmish.llm.repair import repair_report
+from skirmish.llm.repeats import repeat_report
 from skirmish.llm.simhash import near_duplicates
 from skirmish.llm.spelling import spelling_groups
 from skirmish.llm.token_counts import count_tokens
@@ -90,6 +91,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
+@_query
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
