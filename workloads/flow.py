@@ -13,7 +13,8 @@ from skirmish.streaming import jobs, packets, sessions, stateful
 from skirmish.schemas import RAW_MATCH
 from workloads import tables as T
 from workloads import tables2 as T2
-from workloads.core import BASE, KEEP_ALL, LINES, r6, sql_counts
+from workloads import twins as W
+from workloads.core import BASE, KEEP_ALL, LINES, r6
 from workloads.registry import query
 
 EV = T2.SQL_EVENTS
@@ -362,8 +363,7 @@ def rank_coverage(spark, d):
 # ---- incremental -----------------------------------------------------------------------------
 
 
-@query("incremental_totals", T.with_sql(*BASE, KEEP_ALL, sql_counts("hero"))
-       + "SELECT bucket, role, hero, stratum, round(n, 5) AS n, round(w, 5) AS w FROM tot")
+@query("incremental_totals", T.with_sql(*BASE, KEEP_ALL, W.sums(None)) + W.part_of_sums(False, False))
 def incremental_totals(spark, d):
     """Totals after three overlapping batches equal a count from scratch."""
     model, cfg, state = T.item_model(spark, d), T.CFG.with_(levels=("hero",)), scratch_path(spark, "state")
@@ -374,8 +374,7 @@ def incremental_totals(spark, d):
     return r6(cnt.long(cnt.tot(counts)), "n", "w", digits=5)
 
 
-@query("incremental_stream_pairs", T.with_sql(*BASE, KEEP_ALL, sql_counts("hero"))
-       + "SELECT bucket, role, hero, ctx, y, stratum, round(n, 5) AS n, round(w, 5) AS w FROM gxy")
+@query("incremental_stream_pairs", T.with_sql(*BASE, KEEP_ALL, W.sums("hero")) + W.part_of_sums(True, True))
 def incremental_stream_pairs(spark, d):
     """Sums kept up to date by a stream of match files (foreachBatch), two files at a time."""
     model, cfg, state = T.item_model(spark, d), T.CFG.with_(levels=("hero",)), scratch_path(spark, "state")

@@ -19,7 +19,8 @@ from skirmish.session import settle_dim, small_table, stage
 from skirmish.sources import slices
 from workloads import tables as T
 from workloads import tables2 as T2
-from workloads.core import BASE, BUYS, DIMS, GAMES, LINES, SHARES, counts_of, players_of, r6, recs_of, sql_level, teams_of
+from workloads import twins as W
+from workloads.core import BASE, BUYS, DIMS, GAMES, LINES, SHARES, counts_of, players_of, r6, recs_of, teams_of
 from workloads.registry import query
 
 EV = T2.SQL_EVENTS
@@ -30,7 +31,7 @@ CUBE = """
 pl AS (
   SELECT p.match_id, p.is_radiant, p.hero, p.bucket, p.win, p.items, l.duration, p.role,
          row_number() OVER (PARTITION BY p.match_id, p.is_radiant ORDER BY l.net_worth DESC, p.hero) AS place
-  FROM pg p JOIN m l ON l.match_id = p.match_id AND l.hero_id = p.hero
+  FROM pg p JOIN first_rows l ON l.match_id = p.match_id AND l.hero_id = p.hero
 ),
 mine AS (SELECT match_id, hero, y AS item FROM owned_y),
 foes AS (SELECT p.match_id, p.hero, 'hero' AS t, CAST(e.hero AS VARCHAR) AS ctx FROM pl p JOIN pl e ON e.match_id = p.match_id AND e.is_radiant <> p.is_radiant
@@ -370,17 +371,10 @@ def same_inventory_pairs(spark, d):
 # ---- validation ------------------------------------------------------------------------------
 
 SPLIT = 946684800
-TRAIN_TEST = (LINES, DIMS, GAMES, "dropped AS (SELECT 0 AS y WHERE false)",
+TRAIN_TEST = (LINES, DIMS, GAMES, W.NO_ITEMS_LEFT_OUT,
               f"pg_tr AS (SELECT * FROM pg WHERE start_time < {SPLIT})", f"pg_te AS (SELECT * FROM pg WHERE start_time >= {SPLIT})")
 
 
-def _half(level: str, dst: str, pg: str) -> str:
-    text = sql_level(level, dst)
-    for word in ("FROM", "JOIN"):
-        text = text.replace(f"{word} pg ", f"{word} {pg} ")
-    return text.replace("FROM pg)", f"FROM {pg})")
-
-
 def _halves(spark, d, level):
     model = T.item_model(spark, d)
     players = prepare.with_owned(players_of(spark, d, None), model)
@@ -391,7 +385,7 @@ def _halves(spark, d, level):
     return out
 
 
-@query("threshold_sweep", T.with_sql(*TRAIN_TEST, _half("hero", "tr", "pg_tr"), _half("hero", "te", "pg_te")) + """
+@query("threshold_sweep", T.with_sql(*TRAIN_TEST, W.level("hero", "tr", games="pg_tr"), W.level("hero", "te", games="pg_te")) + """
 , j AS (SELECT t.*, thr.pp, s.lift_a AS ta, s.var_a AS tva FROM tr t JOIN (VALUES (0.0), (0.5), (1.0), (1.5), (2.0), (3.0), (5.0)) thr(pp)
   ON t.lift_a - 1.645 * sqrt(greatest(t.var_a, 0)) > 0 AND t.lift_a * 100 >= thr.pp LEFT JOIN te s USING (bucket, role, hero, ctx, y))
 SELECT pp::DOUBLE AS pp, count(*) FILTER (WHERE ta <> 0) AS checked, count(*) FILTER (WHERE ta > 0) AS agree, count(*) FILTER (WHERE abs(ta) > 1.645 * sqrt(greatest(coalesce(tva, 0), 0))) AS sig,
@@ -402,7 +396,7 @@ def threshold_sweep(spark, d):
     return validate.threshold_sweep(train, test, 1.645)
 
 
-@query("ally_holdout", T.with_sql(*TRAIN_TEST, _half("ally", "tr", "pg_tr"), _half("ally", "te", "pg_te")) + """
+@query("ally_holdout", T.with_sql(*TRAIN_TEST, W.level("ally", "tr", games="pg_tr"), W.level("ally", "te", games="pg_te")) + """
 , t AS (SELECT * FROM tr WHERE ctx <> CAST(hero AS VARCHAR) AND lift_a + 1.645 * sqrt(greatest(coalesce(var_a, 0), 0)) < 0 AND lift_a * 100 <= -1.0)
 SELECT (SELECT count(*) FROM t) AS pairs, count(*) FILTER (WHERE s.lift_a <> 0) AS checked, count(*) FILTER (WHERE s.lift_a < 0) AS agree,
   count(*) FILTER (WHERE abs(s.lift_a) > 1.645 * sqrt(greatest(coalesce(s.var_a, 0), 0))) AS sig, count(*) FILTER (WHERE s.lift_a < -1.645 * sqrt(greatest(coalesce(s.var_a, 0), 0))) AS sig_agree
@@ -412,7 +406,7 @@ def ally_holdout(spark, d):
     return validate.ally_signs(train, test, 1.645, 1.0)
 
 
-@query("holdout_signs", T.with_sql(*TRAIN_TEST, _half("L2", "tr", "pg_tr"), _half("L2", "te", "pg_te")) + """
+@query("holdout_signs", T.with_sql(*TRAIN_TEST, W.level("L2", "tr", games="pg_tr"), W.level("L2", "te", games="pg_te")) + """
 , j AS (SELECT t.lift_a AS a, t.diff_b AS b, s.lift_a AS ta, s.var_a AS tva, s.diff_b AS tb, s.var_b AS tvb FROM tr t JOIN te s USING (bucket, role, hero, ctx, y))
 SELECT count(*) FILTER (WHERE b <> 0 AND tb <> 0) AS b_checked, count(*) FILTER (WHERE b <> 0 AND tb <> 0 AND sign(b) = sign(tb)) AS b_agree,
   count(*) FILTER (WHERE b <> 0 AND abs(tb) > 1.645 * sqrt(greatest(coalesce(tvb, 0), 0))) AS b_sig, count(*) FILTER (WHERE b <> 0 AND abs(tb) > 1.645 * sqrt(greatest(coalesce(tvb, 0), 0)) AND sign(b) = sign(tb)) AS b_sig_agree,
