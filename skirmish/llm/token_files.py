@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.llm.bpe import encoder
@@ -26,6 +26,7 @@ from skirmish.session import scratch_path, stage
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed by the format
 CHECKSUMS = 0x80
 FRAME_IDS = 4096
+TASK_IDS = 8_000_000  # ids that a reading task takes, about
 NO_ID = -(2**63)  # stands for a null doc_id inside a frame
 
 
@@ -37,6 +38,9 @@ def open_folder(uri: str):
 
 
 def frame_of(docs: list[tuple[int, np.ndarray]], width: int) -> bytes:
+    most = max((int(i.max()) for _, i in docs if len(i)), default=0)
+    if most >> 8 * width:
+        raise ValueError(f"token id {most} doesn't fit {width} bytes")
     head = struct.pack("<I", len(docs)) + np.array([d for d, _ in docs], "<i8").tobytes() + np.array([len(i) for _, i in docs], "<u4").tobytes()
     return head + b"".join(i.astype(f"<u{width}").tobytes() for _, i in docs)
 
@@ -99,12 +103,13 @@ class FrameReader:
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, width: int = 2, frame_ids: int = FRAME_IDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes the ids of all documents in ascending doc_id order; returns the index ``file_no, file, frame, docs, ids``.
+    """Writes the ids of all documents in ascending doc_id order; returns the index ``file_no, file, frame, docs, ids,
+    doc_ids`` (``doc_ids``: the documents of the frame, so that a reader finds the frames of those it wants).
 
     One range partition, one file; the files' order is the order of ids. A task that runs twice writes twice, under
     names of its own, and the index names the copy whose task was committed. Null text: the end id alone. Null ids come
     first and are read back as null. Repeated rows are all kept, and a hot id is split over files. An empty table
-    gives an empty index. ``width``: bytes of an id, 2 up to 65,536 ids.
+    gives an empty index. ``width``: bytes of an id, 2 up to 65,536 ids; an id that doesn't fit is an error.
     """
     spark = docs.sparkSession
 
@@ -116,7 +121,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, widt
         system, where = open_folder(folder)
 
         def close() -> None:
-            rows.append((part, name, writer.add(frame_of(held, width)), len(held), size))
+            rows.append((part, name, writer.add(frame_of(held, width)), len(held), size, [None if d == NO_ID else d for d, _ in held]))
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -134,25 +139,35 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, widt
             close()
             writer.finish()
             sink.close()
-        yield pd.DataFrame(rows, columns=["file_no", "file", "frame", "docs", "ids"])
+        yield pd.DataFrame(rows, columns=["file_no", "file", "frame", "docs", "ids", "doc_ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     ordered = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    return stage(ordered.mapInPandas(write, "file_no int, file string, frame int, docs long, ids long"), "token_index")
+    return stage(ordered.mapInPandas(write, "file_no int, file string, frame int, docs long, ids long, doc_ids array<long>"), "token_index")
 
 
-def read_token_files(index: DataFrame, folder: str, width: int = 2, frames: Column | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of the documents in the index's frames, or in those where ``frames`` holds.
+def read_token_files(index: DataFrame, folder: str, width: int = 2, wanted: DataFrame | None = None, digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens`` and ``ids`` (``digest``: ``ids_crc32``, taken where the frame is unpacked) of all documents,
+    or of those in ``wanted`` (``doc_id``): then only their frames are read.
 
-    ``start`` counts the ids of all documents before, over all files. Only the frames asked for are decompressed.
+    ``start`` counts the ids of all documents before, over all files. Frames are dealt to tasks by their place, about
+    TASK_IDS ids each, whatever the files' sizes.
     """
     sums = index.groupBy("file_no").agg(F.sum("ids").alias("in_file"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = sums.select("file_no", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("file_start"))
     in_file = Window.partitionBy("file_no").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     placed = index.withColumn("ahead", F.coalesce(F.sum("ids").over(in_file), F.lit(0))).join(files, "file_no")
-    asked = placed if frames is None else placed.where(frames)
-    asked = asked.select("file", "frame", (F.col("file_start") + F.col("ahead")).alias("start"))
+    placed = placed.withColumn("start", F.col("file_start") + F.col("ahead"))
+    if wanted is not None:
+        ids = wanted.select(F.col("doc_id").cast("long").alias("want")).distinct()
+        hit = placed.select("start", F.explode("doc_ids").alias("doc_id")).join(ids, F.col("doc_id").eqNullSafe(F.col("want")))
+        placed = placed.join(hit.groupBy("start").agg(F.collect_set("doc_id").alias("asked"), F.max(F.col("doc_id").isNull()).alias("nulls")), "start")
+    else:
+        placed = placed.withColumns({"asked": F.lit(None).cast("array<long>"), "nulls": F.lit(False)})
+    every = wanted is None
+    tasks = int(index.agg(F.coalesce(F.sum("ids"), F.lit(0))).first()[0]) // TASK_IDS + 1
+    dealt = placed.select("file", "frame", "start", "asked", "nulls").repartitionByRange(tasks, "start").sortWithinPartitions("start")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, where = open_folder(folder)
@@ -160,28 +175,23 @@ def read_token_files(index: DataFrame, folder: str, width: int = 2, frames: Colu
         for batch in batches:
             for at in range(0, len(batch), 64):
                 out = []
-                for file, frame, start in batch.iloc[at : at + 64].itertuples(index=False):
+                for file, frame, start, asked, nulls in batch.iloc[at : at + 64].itertuples(index=False):
                     if file != name:
                         reader, name = FrameReader(system.open_input_file(f"{where}/{file}")), file
+                    only = None if every else {*asked.tolist(), *([NO_ID] if nulls else [])}
                     for doc, ids in docs_of(reader.frame(frame), width):
-                        out.append((None if doc == NO_ID else doc, start, len(ids), ids.astype(np.int32)))
+                        if only is None or doc in only:
+                            held = zlib.crc32(ids.tobytes()) if digest else ids.astype(np.int32)
+                            out.append((None if doc == NO_ID else doc, start, len(ids), held))
                         start += len(ids)
-                got = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids"])
+                got = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
                 got["doc_id"] = got["doc_id"].astype("Int64")
                 yield got
 
-    return asked.mapInPandas(read, "doc_id long, start long, n_tokens long, ids array<int>")
+    return dealt.mapInPandas(read, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids array<int>'}")
 
 
 def token_digests(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Writes token files, reads them all back and returns ``doc_id, start, n_tokens, ids_crc32`` of what was read."""
-    spark: SparkSession = docs.sparkSession
-    folder = scratch_path(spark, "token_files")
-    read = read_token_files(write_token_files(docs, folder, path, end_id), folder)
-
-    @F.pandas_udf("long")
-    def crc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([zlib.crc32(np.asarray(ids).astype("<u4").tobytes()) for ids in batch], dtype="int64")
-
-    return read.select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    folder = scratch_path(docs.sparkSession, "token_files")
+    return read_token_files(write_token_files(docs, folder, path, end_id), folder, digest=True)
