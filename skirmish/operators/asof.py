@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skirmish.operators.rows import around_sliced
 from skirmish.session import pull_small
 
 MAX_INLINE_DATES = 2_000
+SLICE_SEC = 3600.0
 
 
 def effective_name(df: DataFrame, time: str, names: DataFrame, out: str) -> DataFrame:
@@ -35,23 +37,16 @@ def nearest_point(
 ) -> DataFrame:
     """For each target the point closest in time, if within ``tolerance`` (ties: earlier, then smaller id).
 
-    Times are cut into cells of the tolerance; a target looks into its own and the two next cells.
-    Points are first thinned to the earliest and latest point per (cell, second), so a crowded
-    moment never multiplies a target.
+    Points are thinned to one a moment; then one sorted pass in slices of time gives each target the points on either
+    side, so the work is linear in the rows for any tolerance.
     """
-    cell = F.floor(F.col(point_time) / tolerance)
-    thin = points.groupBy(cell.alias("cell_"), F.col(point_time)).agg(F.min(point_id).alias(point_id))
-    looked = targets.withColumn(
-        "cell_", F.explode(F.sequence(F.floor(F.col(target_time) / tolerance) - 1, F.floor(F.col(target_time) / tolerance) + 1))
-    )
-    gap = F.abs(F.col(point_time) - F.col(target_time))
-    pairs = looked.join(thin, "cell_").where(gap <= tolerance)
-    best = pairs.groupBy(target_id, target_time).agg(
-        F.min(F.struct(gap.alias("gap"), F.col(point_time).alias("at"), F.col(point_id).alias("id"))).alias("b_")
-    )
-    return targets.select(target_id, target_time).join(best, [target_id, target_time], "left").select(
-        target_id, target_time, F.col("b_.id").alias(point_id), F.col("b_.at").alias(point_time), F.col("b_.gap").alias("gap")
-    )
+    thin = points.groupBy(point_time).agg(F.min(point_id).alias(point_id)).withColumnRenamed(point_time, target_time)
+    sides = around_sliced(targets.select(target_id, target_time), thin, [], target_time, [point_id], SLICE_SEC)
+    now = F.col(target_time)
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.{target_time}") - now).alias("gap"), F.col(f"{c}.{target_time}").alias("at"), F.col(f"{c}.{point_id}").alias("id")))
+    best = F.least(side("before_"), side("after_"))
+    near = sides.withColumn("b_", F.when(best["gap"] <= tolerance, best))
+    return near.select(target_id, target_time, F.col("b_.id").alias(point_id), F.col("b_.at").alias(point_time), F.col("b_.gap").alias("gap"))
 
 
 def schedule(specs: DataFrame, lo: Column, hi: Column) -> DataFrame:

@@ -175,6 +175,40 @@ def running_sum_sliced(
     )
 
 
+def around_sliced(
+    asked: DataFrame, points: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], slice_width: float, strict: bool = False, exact: bool = False
+) -> DataFrame:
+    """For each row of ``asked`` the point of its key at or before its ``time`` and the one at or after: ``before_`` and
+    ``after_``, structs of (time, order) or null. ``strict``: points at the very time are neither. ``exact``: places
+    (time, order) are compared instead of times; ``asked`` then has the columns of ``order`` too.
+
+    One sorted pass over both tables: a key is cut into slices of ``slice_width``, and what a slice doesn't hold comes
+    from a table with a row a slice. Linear in the rows, whatever lies near whatever.
+    """
+    keys, order = list(keys), list(order)
+    place = F.struct(time, *order)
+    row = F.struct(*asked.columns)
+    none_row, none_place = F.lit(None).cast(asked.select(row.alias("r")).dtypes[0][1]), F.lit(None).cast(points.select(place.alias("p")).dtypes[0][1])
+    ask_cols = [*keys, F.col(time).cast("double").alias("time_"), *([F.col(c).alias(f"o_{c}") for c in order] if exact else [])]
+    both = points.select(*ask_cols, none_row.alias("row_"), place.alias("point_"), F.lit(0).alias("ask_"))
+    both = both.unionByName(asked.select(*ask_cols, row.alias("row_"), none_place.alias("point_"), F.lit(1).alias("ask_")))
+    both = both.withColumn("slice_", F.floor(F.col("time_") / slice_width))
+    line = ["time_", *([f"o_{c}" for c in order] if exact else [])]
+    # a point at the very place counts for a row that comes after it in the order of the window
+    up = Window.partitionBy(*keys, "slice_").orderBy(*[F.col(c).asc() for c in line], F.col("ask_").desc() if strict else F.col("ask_").asc())
+    down = Window.partitionBy(*keys, "slice_").orderBy(*[F.col(c).desc() for c in line], F.col("ask_").desc() if strict else F.col("ask_").asc())
+    own = both.withColumns({
+        "low_": F.max("point_").over(up.rowsBetween(Window.unboundedPreceding, 0)),
+        "high_": F.min("point_").over(down.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    ends = both.groupBy(*keys, "slice_").agg(F.min("point_").alias("first_"), F.max("point_").alias("last_"))
+    earlier = Window.partitionBy(*keys).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col("slice_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "slice_", F.max("last_").over(earlier).alias("from_before_"), F.min("first_").over(later).alias("from_after_"))
+    found = own.where("ask_ = 1").join(ends, [*keys, "slice_"])
+    return found.select("row_.*", F.coalesce("low_", "from_before_").alias("before_"), F.coalesce("high_", "from_after_").alias("after_"))
+
+
 def changes(
     df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], value: str, slice_width: float
 ) -> DataFrame:
