@@ -43,28 +43,30 @@ def unfinished(shares: DataFrame, cfg: Config) -> DataFrame:
 def team_counts(team_rows: DataFrame, owner_odds: DataFrame | None = None) -> DataFrame:
     """(bucket, y, pairs, expected): pairs of owners in one team, seen and expected if all bought alone.
 
-    The expected number per team, ((sum p)^2 - sum p^2) / 2, is summed over the distinct
-    (hero, role) pairs of a team through its counts, never over pairs of players.
+    How often two (hero, role) play together is counted once for all items: pairs are made inside a team's row and
+    summed before the shuffle, so it carries the key space. Only these counts meet the odds of the items. The pairs seen
+    are counted inside a row, too.
     """
-    players = team_rows.select("bucket", "match_id", "is_radiant", F.explode("players").alias("p")).select(
-        "bucket", "match_id", "is_radiant",
-        F.col("p.role").alias("role"), F.col("p.hero").alias("hero"), F.col("p.ys").alias("ys"),
-    )
-    odds = owner_odds if owner_odds is not None else purchase_odds(players)
-    # one array of (item, probability) per (bucket, role, hero): as many entries as the hero's items
-    menu = odds.groupBy("bucket", "role", "hero").agg(F.collect_list(F.struct("y", "p")).alias("menu"))
-    asked = (
-        players.join(menu, ["bucket", "role", "hero"])
-        .select("bucket", "match_id", "is_radiant", "ys", F.inline("menu"))
-        .withColumn("has", F.array_contains("ys", F.col("y")).cast("int"))
-    )
-    per_team = asked.groupBy("bucket", "match_id", "is_radiant", "y").agg(
-        F.sum("p").alias("s1"), F.sum(F.col("p") * F.col("p")).alias("s2"), F.sum("has").alias("k")
-    )
-    return per_team.groupBy("bucket", "y").agg(
-        F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs"),
-        F.sum((F.col("s1") * F.col("s1") - F.col("s2")) / 2).alias("expected"),
-    )
+    players = F.transform("players", lambda p: F.struct(p["hero"].alias("hero"), p["role"].alias("role")))
+    rest = lambda i: F.slice("mates_", i + 2, F.size("mates_"))
+    both = lambda a, b: F.array_sort(F.array(a, b))
+    pairs = F.flatten(F.transform("mates_", lambda a, i: F.transform(rest(i), lambda b: both(a, b))))
+    mates = team_rows.select("bucket", players.alias("mates_")).select("bucket", F.explode(pairs).alias("m"))
+    mates = mates.groupBy("bucket", F.col("m")[0].alias("a"), F.col("m")[1].alias("b")).agg(F.count("*").alias("times"))
+    odds = owner_odds
+    if odds is None:
+        odds = purchase_odds(team_rows.select("bucket", F.explode("players").alias("p")).select("bucket", "p.role", "p.hero", "p.ys"))
+    odds = odds.select("bucket", F.struct("hero", "role").alias("who"), "y", "p")
+    of_a = odds.select("bucket", F.col("who").alias("a"), "y", F.col("p").alias("p_a"))
+    of_b = odds.select("bucket", F.col("who").alias("b"), "y", F.col("p").alias("p_b"))
+    met = mates.join(of_a, ["bucket", "a"]).join(of_b, ["bucket", "b", "y"])
+    expected = met.groupBy("bucket", "y").agg(F.sum(F.col("times") * F.col("p_a") * F.col("p_b")).alias("expected"))
+    owned = F.flatten(F.transform("players", lambda p: p["ys"]))
+    seen = team_rows.select("bucket", owned.alias("all_")).select("bucket", "all_", F.explode(F.array_distinct("all_")).alias("y"))
+    k = F.size(F.filter("all_", lambda x: x == F.col("y")))
+    seen = seen.groupBy("bucket", "y").agg(F.sum(k * (k - 1) / 2).alias("pairs"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return seen.join(expected, ["bucket", "y"], "left").select("bucket", "y", zero("pairs"), zero("expected"))
 
 
 def purchase_odds(players: DataFrame) -> DataFrame:
