@@ -38,23 +38,55 @@ def _leaves(col: Column, dtype: DataType, prefix: str) -> list[Column]:
     return [F.array(F.struct(F.lit(prefix).alias("path"), col.cast("string").alias("value")))]
 
 
-def any_path_values(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """The same for records of unknown shape: variant_explode level by level until no container is left."""
-    rest = df.select(*keep, F.try_parse_json(column).alias("v"), F.lit("").alias("path")).where(F.col("v").isNotNull())
-    done = None
-    kind = F.schema_of_variant("v")
-    while True:
-        leaf = rest.where(~kind.rlike("^(OBJECT|ARRAY)")).select(*keep, "path", F.variant_get("v", "$", "string").alias("value"))
-        done = leaf if done is None else done.unionByName(leaf)
-        boxes = rest.where(kind.rlike("^(OBJECT|ARRAY)"))
-        if boxes.limit(1).count() == 0:
-            return done
-        boxes = boxes.withColumn("is_list", kind.startswith("ARRAY"))
-        opened = boxes.lateralJoin(boxes.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "item"))
-        step = F.when(F.col("is_list"), "[]").otherwise(
-            F.concat(F.when(F.col("path") == "", "").otherwise("."), F.regexp_replace("key", r"\d+", "#"))
-        )
-        rest = opened.select(*keep, F.col("item").alias("v"), F.concat("path", step).alias("path"))
+def json_depth(text: Column) -> Column:
+    """Levels of objects and lists in JSON text: its brackets outside of strings, folded."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(at: Column, sign: Column) -> Column:
+        now = at["now"] + F.when(sign.isin("[", "{"), 1).when(sign.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, count)["most"]
+
+
+def opened(df: DataFrame, column: str, which: str, depth: int, step: Column | None = None, path: str = "path") -> DataFrame:
+    """Containers of the variant ``column`` opened ``depth`` times in one chain: values that are no containers stay rows as
+    they are, so the table is read and parsed once. ``which``: pattern of the kinds to open. Empty containers leave no row.
+    """
+    names = [c for c in df.columns if c not in (column, path)]
+    for _ in range(depth):
+        kind = F.schema_of_variant(column)
+        marked = df.withColumns({"box_": F.when(kind.rlike(which), F.col(column)), "is_list_": kind.startswith("ARRAY")})
+        inner = marked.sparkSession.tvf.variant_explode_outer(F.col("box_").outer()).toDF("pos_", "key_", "item_")
+        out = marked.lateralJoin(inner).where(F.col("box_").isNull() | F.col("pos_").isNotNull())
+        onward = F.concat(F.col(path), F.when(F.col("is_list_"), "[]").otherwise(step)) if step is not None else F.col(path)
+        df = out.select(
+            *names, F.when(F.col("box_").isNotNull(), F.col("item_")).otherwise(F.col(column)).alias(column),
+            F.when(F.col("box_").isNotNull(), onward).otherwise(F.col(path)).alias(path),
+        )
+    return df
+
+
+def any_path_values(df: DataFrame, column: str, keep: list[str], depth: int | None = None) -> DataFrame:
+    """The same for records of unknown shape, as variants. Broken records are dropped.
+
+    The deepest record is found by one aggregate (or given as ``depth``); the walk itself is a single plan of that many
+    steps over records parsed once, not a job a level.
+    """
+    if depth is None:
+        depth = df.agg(F.coalesce(F.max(json_depth(F.col(column))), F.lit(0))).first()[0]
+    step = F.concat(F.when(F.col("path") == "", "").otherwise("."), F.regexp_replace("key_", r"\d+", "#"))
+    rows = df.select(*keep, F.try_parse_json(column).alias("v"), F.lit("").alias("path")).where(F.col("v").isNotNull())
+    leaves = opened(rows, "v", "^(OBJECT|ARRAY)", depth, step)
+    return leaves.select(*keep, "path", F.variant_get("v", "$", "string").alias("value"))
+
+
+def list_items(df: DataFrame, column: str, keep: list[str], depth: int) -> DataFrame:
+    """(keep..., item): the elements of a variant list, lists inside lists opened down to ``depth``; a single value is its
+    own element."""
+    rows = df.select(*keep, F.col(column).alias("item"), F.lit("").alias("path")).where(F.col("item").isNotNull())
+    return opened(rows, "item", "^ARRAY", depth).drop("path")
 
 
 def field_profile(values: DataFrame, order: str) -> DataFrame:

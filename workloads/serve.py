@@ -16,7 +16,7 @@ from skirmish.operators import hints, lift, profile, reports, tags, threats, tim
 from skirmish.operators.rows import top_per_key
 from skirmish.plans import prepare, recommend
 from skirmish.session import settle_dim, small_table, stage
-from skirmish.sources import slices
+from skirmish.sources import keyed, slices
 from workloads import tables as T
 from workloads import tables2 as T2
 from workloads import twins as W
@@ -594,6 +594,40 @@ def nested_field_profile(spark, d):
     return out.select("path", "count", F.array_join("samples", ",").alias("samples"))
 
 
+def _item_files(spark, d):
+    """Parts as keyed files, an object a brand: costs, parts of a recipe, abilities in lists of lists of three depths."""
+    from skirmish.session import scratch_path
+
+    p = T.read(spark, d, "part")
+    one = F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(","), (F.col("p_partkey") % 7).cast("string"), F.lit("]"))
+    deep = F.when(F.col("p_partkey") % 3 == 0, one).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("[["), F.col("p_size").cast("string"), F.lit("],[[9,[8]],[]]]"))).otherwise(F.lit("5"))
+    entry = F.concat(
+        F.lit('"part'), "p_partkey", F.lit('":{"id":'), "p_partkey", F.lit(',"cost":'), F.floor("p_retailprice"), F.lit(',"quality":"'), "p_type",
+        F.lit('","components":["'), F.concat_ws('","', "p_name", "p_brand"), F.lit('"],"abilities":'), deep, F.lit("}"),
+    )
+    path = scratch_path(spark, "items")
+    files = p.select("p_brand", entry.alias("e")).groupBy("p_brand").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("e"), ","), F.lit(',"version":7}')).alias("value"))
+    files.select("value").write.text(path)
+    return keyed.read_keyed(spark, path, "id bigint; cost bigint; quality string; components array<string>", whole=False)
+
+
+@query("keyed_items", """
+SELECT 'part' || p_partkey AS key, p_partkey AS id, CAST(floor(p_retailprice) AS BIGINT) AS cost, p_type AS quality, p_name || ',' || p_brand AS components FROM part""")
+def keyed_items(spark, d):
+    """A dimension of files that hold one object keyed by name, as rows; entries that are no objects are left out."""
+    return _item_files(spark, d).select("key", "id", "cost", "quality", F.array_join("components", ",").alias("components"))
+
+
+@query("nested_lists", """
+SELECT 'part' || p_partkey AS key, v AS value, count(*) AS times FROM (
+  SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN [p_size, p_partkey % 7] WHEN 1 THEN [p_size, 9, 8] ELSE [5] END)::BIGINT AS v FROM part) GROUP BY ALL""")
+def nested_lists(spark, d):
+    """Lists inside lists of any shape, flattened to their elements."""
+    items = _item_files(spark, d).select("key", F.variant_get("raw", "$.abilities", "variant").alias("abilities"))
+    flat = profile.list_items(items, "abilities", ["key"], 4)
+    return flat.groupBy("key", F.variant_get("item", "$", "bigint").alias("value")).agg(F.count("*").alias("times"))
+
+
 @query("match_spans", T.with_sql(EV) + "SELECT user_id, count(*) AS packets, arg_min(k, event_id) AS first_clock, arg_max(k, event_id) AS last_clock FROM ev GROUP BY user_id")
 def match_spans(spark, d):
     return profile.match_spans(T2.events(spark, d), "user_id", "k", "event_id")
