@@ -39,25 +39,27 @@ _DIGITS = 1 << _DIGIT_BITS
 
 
 def kth_largest(df: DataFrame, columns: Sequence[str], k: int) -> tuple[int, ...] | None:
-    """The k-th largest tuple of non-negative bigint ``columns``; None when there are fewer rows.
+    """The k-th largest tuple of bigint ``columns``; None when there are fewer rows.
 
     A radix selection: each pass counts one 15-bit digit (at most 32,768 partial sums per task, no
-    sort), keeps the digit that holds the k-th row and narrows to it. Ties are counted, so the
+    sort), keeps the digit that holds the k-th row and narrows to it. Values are taken with their sign bit turned, so
+    that negative ones come before the others; digits that all rows share are not counted. Ties are counted, so the
     answer is exact whatever the skew.
     """
     chosen: list[int] = []
     rest = df
     remaining = k
+    turned = 1 << 63
     for name in columns:
-        value = 0
         low, top = rest.agg(F.min(name), F.max(name)).first()
         if top is None:
             return None
-        if low < 0:
-            raise ValueError(f"{name} holds {low}: the selection is defined for non-negative values")
-        shift = max(0, (int(top).bit_length() - 1) // _DIGIT_BITS * _DIGIT_BITS)
+        low, top = int(low) + turned, int(top) + turned
+        shift = max(0, ((low ^ top).bit_length() - 1) // _DIGIT_BITS * _DIGIT_BITS)
+        value = top >> (shift + _DIGIT_BITS) << (shift + _DIGIT_BITS)
+        key = F.col(name).cast("bigint").bitwiseXOR(F.lit(-turned).cast("bigint"))
         while shift >= 0:
-            digit = F.shiftright(F.col(name), shift).bitwiseAND(_DIGITS - 1)
+            digit = F.shiftrightunsigned(key, shift).bitwiseAND(_DIGITS - 1)
             counts = rest.groupBy(digit.alias("d")).count().collect()  # <= 32,768 rows
             seen = 0
             pick = None
@@ -72,7 +74,7 @@ def kth_largest(df: DataFrame, columns: Sequence[str], k: int) -> tuple[int, ...
             value |= pick << shift
             rest = rest.where(digit == pick)
             shift -= _DIGIT_BITS
-        chosen.append(value)
+        chosen.append(value - turned)
     return tuple(chosen)
 
 

@@ -61,11 +61,12 @@ def recommend_uplift(scores: DataFrame, costs: DataFrame, cfg: UpliftConfig) ->
     return priced.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cfg.per_threat)
 
 
-def tiered_advice(asks: DataFrame, cube: DataFrame, min_games: int, min_base: int) -> DataFrame:
+def tiered_advice(asks: DataFrame, cube: DataFrame, min_games: int, min_base: int, per: tuple[str, ...] = ("request",)) -> DataFrame:
     """First tier with enough games (enemy item, enemy hero, trait), else the hero's own record.
 
     ``asks``: request, bucket, hero, item, enemy_item, enemy_hero, trait. Rows: asks plus tier,
-    delta (win-rate change in pp), games and place (no loss first, finer tier, larger gain, cheap).
+    delta (win-rate change in pp), games and place (no loss first, finer tier, larger gain, cheap). ``per``: what an answer
+    is for, a request or a threat of it.
     """
 
     def look(table: str, ctx: str, name: str) -> DataFrame:
@@ -89,6 +90,6 @@ def tiered_advice(asks: DataFrame, cube: DataFrame, min_games: int, min_base: in
     delta = F.when(tier != "base", F.round(wr - base_wr, 1))
     value = F.coalesce(delta, wr / 100)
     rank = F.when(tier == "hero", 3).when(tier == "trait", 2).otherwise(1)
-    out = j.select("request", "item", tier.alias("tier"), delta.alias("delta"), games.alias("games"), F.coalesce(delta >= 0, F.lit(True)).alias("fine"), rank.alias("tier_rank"), value.alias("value"))
-    order = Window.partitionBy("request").orderBy(F.col("fine").desc(), F.col("tier_rank").desc(), F.round("value", 9).desc(), "item")
+    out = j.select(*per, "item", tier.alias("tier"), delta.alias("delta"), games.alias("games"), F.coalesce(delta >= 0, F.lit(True)).alias("fine"), rank.alias("tier_rank"), value.alias("value"))
+    order = Window.partitionBy(*per).orderBy(F.col("fine").desc(), F.col("tier_rank").desc(), F.round("value", 9).desc(), "item")
     return out.withColumn("place", F.row_number().over(order)).drop("fine", "tier_rank", "value")

@@ -18,43 +18,60 @@ class RetentionError(ValueError):
     """The window cannot be rotated without losing or inventing rows."""
 
 
-def source_versions(rows: DataFrame) -> DataFrame:
-    """(match_id, filename, n, times): rows and distinct start times of each copy of a match.
+def versions(rows: DataFrame, rows_per_match: int | str = ROWS_PER_MATCH) -> DataFrame:
+    """(match_id, filename, n, distinct, first, last, size) of each copy of a match, written once.
 
-    min = max replaces the distinct count of start times, so copies of a hot match are combined
-    inside each map task.
+    This narrow table answers everything but the rows themselves. ``size`` is how many rows a whole match has: a number,
+    or the name of a column that says it for each match. Repeats are found by a digest of the row, which is combined
+    before the shuffle.
     """
-    return rows.groupBy("match_id", "filename").agg(
-        F.count("*").alias("n"),
-        F.when(F.min("start_time") == F.max("start_time"), 1).otherwise(2).alias("times"),
+    size = F.lit(rows_per_match) if isinstance(rows_per_match, int) else F.max(rows_per_match)
+    digest = F.xxhash64(*[c for c in rows.columns if c != "filename"])
+    start = F.col("start_time").cast("bigint")
+    kinds = rows.groupBy("match_id", "filename", digest.alias("digest")).agg(
+        F.count("*").alias("n"), F.min(start).alias("first"), F.max(start).alias("last"), size.cast("bigint").alias("size")
     )
+    each = kinds.groupBy("match_id", "filename").agg(
+        F.sum("n").alias("n"), F.count("*").alias("distinct"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("size").alias("size")
+    )
+    return stage(each, "versions")
+
+
+def whole_versions(table: DataFrame) -> DataFrame:
+    """(match_id, filename, repair, start): the version of each match to keep. A copy without repeats comes before one that is
+    whole once they are gone (``repair``), a later file before an earlier one; start times must agree."""
+    fits = table.where((F.col("first") == F.col("last")) & ((F.col("n") == F.col("size")) | (F.col("distinct") == F.col("size"))))
+    clean = F.col("n") == F.col("size")
+    best = fits.groupBy("match_id").agg(F.max(F.struct(clean.alias("clean"), "filename", "first")).alias("v"))
+    return best.select("match_id", "v.filename", (~F.col("v.clean")).alias("repair"), F.col("v.first").alias("start"))
+
 
+def rows_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of the chosen versions."""
+    kept = rows.join(chosen.select("match_id", "filename", "repair"), ["match_id", "filename"]).drop("filename")
+    return kept.where("not repair").unionByName(kept.where("repair").dropDuplicates()).drop("repair")
 
-def normalize(rows: DataFrame, rows_per_match: int = ROWS_PER_MATCH) -> DataFrame:
-    """One whole version of every match. A copy that is complete once repeats are removed also counts."""
-    versions = source_versions(rows)
-    whole = versions.where((F.col("n") == rows_per_match) & (F.col("times") == 1))
-    chosen = whole.groupBy("match_id").agg(F.max("filename").alias("filename"))
-    rest = rows.join(chosen.select("match_id"), "match_id", "left_anti").dropDuplicates()
-    fixed = source_versions(rest).where((F.col("n") == rows_per_match) & (F.col("times") == 1))
-    chosen_rest = fixed.groupBy("match_id").agg(F.max("filename").alias("filename"))
-    by_version = ["match_id", "filename"]
-    return rows.join(chosen, by_version, "left_semi").unionByName(rest.join(chosen_rest, by_version, "left_semi")).drop("filename")
 
+def normalize(rows: DataFrame, rows_per_match: int | str = ROWS_PER_MATCH) -> DataFrame:
+    """One whole version of every match."""
+    return rows_of(rows, whole_versions(versions(rows, rows_per_match)))
 
-def missing_matches(rows: DataFrame, whole: DataFrame) -> DataFrame:
+
+def missing_matches(table: DataFrame, chosen: DataFrame) -> DataFrame:
     """Matches of the source that have no whole version."""
-    return rows.select("match_id").distinct().join(whole.select("match_id").distinct(), "match_id", "left_anti")
+    return table.select("match_id").distinct().join(chosen.select("match_id"), "match_id", "left_anti")
 
 
-def quality(rows: DataFrame, whole: DataFrame, rows_per_match: int = ROWS_PER_MATCH) -> DataFrame:
+def quality(rows: DataFrame, rows_per_match: int | str = ROWS_PER_MATCH) -> DataFrame:
     """One row: matches, matches with repeated copies, matches with repeated heroes."""
-    per_match = source_versions(rows).groupBy("match_id").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
-    repeated = per_match.agg(F.count_if((F.col("copies") > 1) | (F.col("n") > rows_per_match)).alias("repeated_copies")).scalar()
-    heroes = whole.groupBy("match_id", "hero_id").agg(F.lit(1).alias("one")).groupBy("match_id").agg(F.count("*").alias("heroes"))
-    return heroes.agg(
-        F.count("*").alias("matches"), F.count_if(F.col("heroes") < rows_per_match).alias("repeated_heroes")
-    ).withColumn("repeated_copies", repeated)
+    table = versions(rows, rows_per_match)
+    per_match = table.groupBy("match_id").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("size").alias("size"))
+    repeated = per_match.agg(F.count_if((F.col("copies") > 1) | (F.col("n") > F.col("size"))).alias("repeated_copies"))
+    whole = rows_of(rows, whole_versions(table)).groupBy("match_id", "hero_id").agg(F.lit(1).alias("one")).groupBy("match_id").agg(F.count("*").alias("heroes"))
+    sized = whole.join(table.groupBy("match_id").agg(F.max("size").alias("size")), "match_id")
+    return sized.agg(F.count("*").alias("matches"), F.count_if(F.col("heroes") < F.col("size")).alias("repeated_heroes")).withColumn(
+        "repeated_copies", repeated.scalar()
+    )
 
 
 @dataclass
@@ -71,30 +88,34 @@ def rotate(
     incoming: DataFrame,
     ranks: DataFrame | None = None,
     capacity: int | None = None,
-    rows_per_match: int = ROWS_PER_MATCH,
+    rows_per_match: int | str = ROWS_PER_MATCH,
     chunk: int = CHUNK_MATCHES,
     check: bool = True,
 ) -> Window:
-    """Replace the oldest matches by the new ones. Inputs carry ``filename`` (see read_with_file)."""
-    old_rows, new_rows = normalize(old, rows_per_match), normalize(incoming, rows_per_match)
+    """Replace the oldest matches by the new ones. Inputs carry ``filename`` (see read_with_file).
+
+    Every decision is made on the versions of matches; the rows are read once, by a join with what is kept.
+    """
+    tables = {"old": versions(old, rows_per_match), "incoming": versions(incoming, rows_per_match)}
+    chosen = {name: stage(whole_versions(table), "whole") for name, table in tables.items()}
     if check:
-        for name, rows, whole in (("old", old, old_rows), ("incoming", incoming, new_rows)):
-            lost = missing_matches(rows, whole).limit(10).collect()
+        for name, table in tables.items():
+            lost = missing_matches(table, chosen[name]).limit(10).collect()
             if lost:
                 raise RetentionError(f"incomplete matches in {name}: {[r[0] for r in lost]}")
-    old_ids = stage(old_rows.groupBy("match_id").agg(F.min("start_time").cast("bigint").alias("start")), "old_ids")
-    total = old_ids.count()
+    total = chosen["old"].count()
     capacity = total if capacity is None else capacity
     if capacity != total or capacity <= 0:
         raise RetentionError(f"the previous window holds {total} matches, not {capacity}")
-    fresh = new_rows.join(old_ids.select("match_id"), "match_id", "left_anti")
-    fresh_ids = stage(fresh.groupBy("match_id").agg(F.min("start_time").cast("bigint").alias("start")), "fresh_ids")
-    added = fresh_ids.count()
+    fresh = stage(chosen["incoming"].join(chosen["old"].select("match_id"), "match_id", "left_anti"), "fresh")
+    added = fresh.count()
     if added > capacity:
         raise RetentionError(f"{added} new matches do not fit a window of {capacity}")
-    retained = newest(old_ids, ["start", "match_id"], capacity - added)
-    kept_ids = retained.unionByName(fresh_ids)
-    rows = old_rows.join(retained.select("match_id"), "match_id", "left_semi").unionByName(fresh)
+    retained = newest(chosen["old"], ["start", "match_id"], capacity - added)
+    kept_ids = retained.unionByName(fresh).select("match_id", "start")
+    rows = rows_of(old, retained).unionByName(rows_of(incoming, fresh))
+    if isinstance(rows_per_match, str):
+        rows = rows.drop(rows_per_match)
     chunks = with_chunk(kept_ids, ["start", "match_id"], chunk).select("match_id", "part")
     best = None
     if ranks is not None:

@@ -74,3 +74,10 @@ def test_first_rune_alerts(spark):
                         "event_id string, kind string, first int, interval int, until int, times array<int>, trigger string, delays array<int>, warn array<int>, first_warn array<int>")
     fires = sorted(r["fire_time"] for r in asof.alert_table(specs, 480).collect())
     assert fires[:3] == [330, 350, 470]
+
+
+def test_newest_orders_negative_values(spark):
+    data = random.Random(4).sample(range(-10**12, 10**12), 200) + [-(2**63), 2**63 - 1, 0, -1]
+    df = small_table(spark, [(x,) for x in data], "x bigint")
+    for k in (1, 3, 100, 203):
+        assert {r["x"] for r in rows.newest(df, ["x"], k).collect()} == set(sorted(data)[-k:])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skirmish.operators import asof, counts as cnt, rows as row_ops
@@ -263,18 +264,35 @@ def spaced_id_sample(spark, d):
 # ---- retention -------------------------------------------------------------------------------
 
 SQL_FILES = """
-fl AS (SELECT *, CASE WHEN match_id % 5 = 0 THEN 'b.parquet' ELSE 'a.parquet' END AS filename FROM lines),
+sized AS (SELECT *, count(*) OVER (PARTITION BY match_id) AS size FROM lines),
+named AS (SELECT *, if(match_id % 5 = 0, 'b.parquet', 'a.parquet') AS filename FROM sized),
 olds AS (
-  SELECT * FROM fl WHERE match_id % 4 <> 0 UNION ALL SELECT * REPLACE ('z.parquet' AS filename, net_worth + 1 AS net_worth) FROM fl WHERE match_id % 4 = 1 AND match_id % 3 = 0
+  SELECT * FROM named WHERE match_id % 4 <> 0
+  UNION ALL SELECT * REPLACE ('z.parquet' AS filename, net_worth + 1 AS net_worth) FROM named WHERE match_id % 12 = 9
 ),
-news AS (SELECT * FROM fl WHERE match_id % 4 = 0 OR match_id % 16 = 1 UNION ALL SELECT * FROM fl WHERE match_id % 32 = 0)"""
+news AS (SELECT * FROM named WHERE match_id % 4 = 0 OR match_id % 16 = 1 UNION ALL SELECT * FROM named WHERE match_id % 32 = 0)"""
+#: The version of a match to keep: clean before one with repeats, then the later file.
+SQL_VERSIONS = """
+{n}_versions AS (SELECT match_id, filename, size, count(*) AS n, count(DISTINCT (slot, net_worth, hero_id)) AS kinds FROM {n} GROUP BY ALL),
+{n}_whole AS (
+  SELECT match_id, filename FROM {n}_versions WHERE size IN (n, kinds)
+  QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY (n = size) DESC, filename DESC) = 1
+),
+{n}_rows AS (SELECT DISTINCT match_id, start_time, is_radiant, hero_id, slot, net_worth FROM {n} SEMI JOIN {n}_whole USING (match_id, filename))"""
+SQL_ROTATED = """
+fresh AS (SELECT match_id FROM news_whole EXCEPT SELECT match_id FROM olds_whole),
+kept AS (
+  SELECT DISTINCT match_id, start_time FROM olds_rows
+  QUALIFY dense_rank() OVER (ORDER BY start_time DESC, match_id DESC) <= (SELECT count(*) FROM olds_whole) - (SELECT count(*) FROM fresh)
+),
+rotated AS (SELECT * FROM olds_rows SEMI JOIN kept USING (match_id) UNION ALL SELECT * FROM news_rows SEMI JOIN fresh USING (match_id))"""
+ROT = T.with_sql(LINES, SQL_FILES, SQL_VERSIONS.format(n="olds"), SQL_VERSIONS.format(n="news"), SQL_ROTATED)
 
 
-def _four(spark, d):
-    """Four-line orders as whole four-row matches in named files; a few are copied or rewritten."""
+def _files(spark, d):
+    """All orders as whole matches of their own size in named files; a few are copied or rewritten."""
     lines = T.match_lines(spark, d).drop("custkey")
-    four = lines.groupBy("match_id").agg(F.count("*").alias("n")).where("n = 4").select("match_id")
-    f = stage(lines.join(four, "match_id", "left_semi"), "four")
+    f = stage(lines.withColumn("size", F.count("*").over(Window.partitionBy("match_id"))), "lines")
     f = f.withColumn("filename", F.when(F.col("match_id") % 5 == 0, "b.parquet").otherwise("a.parquet"))
     rewritten = f.where("match_id % 4 = 1 and match_id % 3 = 0").withColumns(
         {"filename": F.lit("z.parquet"), "net_worth": F.col("net_worth") + 1}
@@ -284,58 +302,43 @@ def _four(spark, d):
     return old, new
 
 
-SQL_FOUR = SQL_FILES.replace("FROM lines)", "FROM lines WHERE match_id IN (SELECT match_id FROM lines GROUP BY match_id HAVING count(*) = 4))")
-SQL_WHOLE = """
-{n}_v AS (SELECT match_id, filename, count(*) AS n FROM {n} GROUP BY ALL),
-{n}_ok AS (SELECT match_id, max(filename) AS filename FROM {n}_v WHERE n = 4 GROUP BY match_id),
-{n}_rest AS (SELECT DISTINCT * FROM {n} WHERE match_id NOT IN (SELECT match_id FROM {n}_ok)),
-{n}_rok AS (SELECT match_id, max(filename) AS filename FROM (SELECT match_id, filename FROM {n}_rest GROUP BY ALL HAVING count(*) = 4) GROUP BY match_id),
-{n}_w AS (SELECT * FROM {n} JOIN {n}_ok USING (match_id, filename) UNION ALL SELECT * FROM {n}_rest JOIN {n}_rok USING (match_id, filename))"""
-SQL_KEEP = """
-fresh AS (SELECT * FROM news_w WHERE match_id NOT IN (SELECT match_id FROM olds_w)),
-kept AS (SELECT match_id, min(start_time) AS s FROM olds_w GROUP BY match_id ORDER BY s DESC, match_id DESC
-         LIMIT (SELECT count(DISTINCT match_id) FROM olds_w) - (SELECT count(DISTINCT match_id) FROM fresh)),
-win AS (SELECT * FROM olds_w WHERE match_id IN (SELECT match_id FROM kept) UNION ALL SELECT * FROM fresh)"""
-ROT = T.with_sql(LINES, SQL_FOUR, SQL_WHOLE.format(n="olds"), SQL_WHOLE.format(n="news"), SQL_KEEP)
-
-
-@query("retention_window", ROT + "SELECT match_id, start_time, is_radiant, hero_id, slot, net_worth FROM win")
+@query("retention_window", ROT + "SELECT match_id, start_time, is_radiant, hero_id, slot, net_worth FROM rotated")
 def retention_window(spark, d):
-    old, new = _four(spark, d)
-    return retention.rotate(old, new, rows_per_match=4).rows.select("match_id", "start_time", "is_radiant", "hero_id", "slot", "net_worth")
+    old, new = _files(spark, d)
+    return retention.rotate(old, new, rows_per_match="size").rows.select("match_id", "start_time", "is_radiant", "hero_id", "slot", "net_worth")
 
 
 @query("retention_chunks", ROT + """
-SELECT match_id, (row_number() OVER (ORDER BY min(start_time), match_id) - 1) // 100 AS part FROM win GROUP BY match_id""")
+SELECT match_id, (row_number() OVER (ORDER BY min(start_time), match_id) - 1) // 100 AS part FROM rotated GROUP BY match_id""")
 def retention_chunks(spark, d):
-    old, new = _four(spark, d)
-    return retention.rotate(old, new, rows_per_match=4, chunk=100).chunks
+    old, new = _files(spark, d)
+    return retention.rotate(old, new, rows_per_match="size", chunk=100).chunks
 
 
 @query("retention_ranks", ROT + """
-SELECT r.match_id, r.avg_rank_tier, r.num_rank_tier FROM (SELECT match_id, avg_rank_tier, num_rank_tier FROM ranks UNION ALL SELECT match_id, avg_rank_tier + 1, num_rank_tier FROM ranks WHERE match_id % 2 = 0) r
-WHERE r.match_id IN (SELECT match_id FROM win) QUALIFY row_number() OVER (PARTITION BY r.match_id ORDER BY num_rank_tier DESC, avg_rank_tier DESC) = 1""")
+SELECT match_id, first(avg_rank_tier + more ORDER BY num_rank_tier DESC, more DESC)::INTEGER AS avg_rank_tier, max(num_rank_tier) AS num_rank_tier
+FROM ranks JOIN (VALUES (0, 1), (1, 2)) again(more, every) ON match_id % every = 0 SEMI JOIN rotated USING (match_id) GROUP BY match_id""")
 def retention_ranks(spark, d):
-    old, new = _four(spark, d)
+    old, new = _files(spark, d)
     r = T.ranks(spark, d)
     more = r.where("match_id % 2 = 0").withColumn("avg_rank_tier", F.col("avg_rank_tier") + 1)
-    return retention.rotate(old, new, r.unionByName(more), rows_per_match=4).ranks.select("match_id", "avg_rank_tier", "num_rank_tier")
+    return retention.rotate(old, new, r.unionByName(more), rows_per_match="size").ranks.select("match_id", "avg_rank_tier", "num_rank_tier")
 
 
-@query("retention_quality", T.with_sql(LINES, SQL_FOUR, SQL_WHOLE.format(n="olds")) + """
-SELECT (SELECT count(DISTINCT match_id) FROM olds_w) AS matches,
-  (SELECT count(*) FROM (SELECT match_id FROM olds_v GROUP BY match_id HAVING count(*) > 1 OR max(n) > 4)) AS repeated_copies,
-  (SELECT count(*) FROM (SELECT match_id FROM olds_w GROUP BY match_id HAVING count(DISTINCT hero_id) < 4)) AS repeated_heroes""")
+@query("retention_quality", T.with_sql(LINES, SQL_FILES, SQL_VERSIONS.format(n="olds")) + """
+SELECT count(*) AS matches, count(*) FILTER (heroes < size) AS repeated_heroes, (SELECT count(*) FROM (FROM olds_versions SELECT match_id GROUP BY match_id HAVING count(*) > 1 OR max(n) > max(size))) AS repeated_copies
+FROM (SELECT match_id, count(*) AS size, count(DISTINCT hero_id) AS heroes FROM olds_rows GROUP BY match_id)""")
 def retention_quality(spark, d):
-    old, _ = _four(spark, d)
-    return retention.quality(old, retention.normalize(old, 4), 4)
+    old, _ = _files(spark, d)
+    return retention.quality(old, "size")
 
 
 @query("incomplete_matches", T.with_sql(LINES) + "SELECT match_id FROM lines GROUP BY match_id HAVING count(*) <> 4")
 def incomplete_matches(spark, d):
     """Matches without a whole version (here: orders that do not have four lines)."""
     rows = T.match_lines(spark, d).drop("custkey").withColumn("filename", F.lit("a.parquet"))
-    return retention.missing_matches(rows, retention.normalize(rows, 4))
+    table = retention.versions(rows, 4)
+    return retention.missing_matches(table, retention.whole_versions(table))
 
 
 @query("newest_matches", "SELECT o_orderkey AS match_id, CAST(epoch(o_orderdate) AS BIGINT) AS start FROM orders ORDER BY start DESC, match_id DESC LIMIT (SELECT count(*) // 3 FROM orders)")

@@ -160,28 +160,28 @@ def uplift_recommendations(spark, d):
 
 
 @query("tiered_item_advice", T.with_sql(*CUBE_BASE, ASKS) + """
-, q AS (SELECT a.request, a.bucket, a.hero, b.item, a.enemy, b.games AS bn, b.wins AS bw, CAST((a.request % 20) + 1 AS VARCHAR) AS ei, 'm' || (a.request % 3) AS tr
-  FROM asks a JOIN cube b ON b."table" = 'base' AND b.bucket = a.bucket AND b.hero = a.hero WHERE a.slot = 1 AND b.games >= 5),
+, q AS (SELECT a.request, a.bucket, a.hero, b.item, a.slot, a.enemy, b.games AS bn, b.wins AS bw, CAST((a.request % 20) + 1 AS VARCHAR) AS ei, 'm' || (a.request % 3) AS tr
+  FROM asks a JOIN cube b ON b."table" = 'base' AND b.bucket = a.bucket AND b.hero = a.hero WHERE b.games >= 5),
 j AS (SELECT q.*, i.games AS gi, i.wins AS wi, h.games AS gh, h.wins AS wh, t.games AS gt, t.wins AS wt FROM q
   LEFT JOIN cube i ON i."table" = 'vs_item' AND i.bucket = q.bucket AND i.hero = q.hero AND i.ctx = q.ei AND i.item = q.item
   LEFT JOIN cube h ON h."table" = 'vs_hero' AND h.bucket = q.bucket AND h.hero = q.hero AND h.ctx = CAST(q.enemy AS VARCHAR) AND h.item = q.item
   LEFT JOIN cube t ON t."table" = 'vs_trait' AND t.bucket = q.bucket AND t.hero = q.hero AND t.ctx = q.tr AND t.item = q.item),
-v AS (SELECT request, item, CASE WHEN gi >= 20 OR gh >= 20 THEN 'hero' WHEN gt >= 20 THEN 'trait' ELSE 'base' END AS tier,
+v AS (SELECT request, slot, item, CASE WHEN gi >= 20 OR gh >= 20 THEN 'hero' WHEN gt >= 20 THEN 'trait' ELSE 'base' END AS tier,
   CASE WHEN gi >= 20 THEN gi WHEN gh >= 20 THEN gh WHEN gt >= 20 THEN gt ELSE bn END AS games,
   (CASE WHEN gi >= 20 THEN wi WHEN gh >= 20 THEN wh WHEN gt >= 20 THEN wt ELSE bw END) * 100.0::DOUBLE AS w100, bw * 100.0::DOUBLE / bn AS bwr FROM j)
-SELECT request, tier, count(*) AS items, CAST(sum(games) AS BIGINT) AS games, round(max(w100 / games - CASE WHEN tier = 'base' THEN 0 ELSE bwr END), 1) AS best FROM v GROUP BY request, tier""")
+SELECT request, slot, tier, count(*) AS items, CAST(sum(games) AS BIGINT) AS games, round(max(w100 / games - CASE WHEN tier = 'base' THEN 0 ELSE bwr END), 1) AS best FROM v GROUP BY request, slot, tier""")
 def tiered_item_advice(spark, d):
     cube = stage(cube_of(spark, d), "cube")
     base = cube.where("table = 'base'").select("bucket", "hero", "item")
-    q = asks(spark, d).where("slot = 1").join(base, ["bucket", "hero"]).select(
-        "request", "bucket", "hero", "item", F.col("enemy").cast("string").alias("enemy_hero"),
+    q = asks(spark, d).join(base, ["bucket", "hero"]).select(
+        "request", "slot", "bucket", "hero", "item", F.col("enemy").cast("string").alias("enemy_hero"),
         (F.col("request") % 20 + 1).cast("string").alias("enemy_item"), F.concat(F.lit("m"), (F.col("request") % 3).cast("string")).alias("trait"),
     )
-    out = uplift.tiered_advice(q, cube, 20, 5)
+    out = uplift.tiered_advice(q, cube, 20, 5, ("request", "slot"))
     wr = cube.where("table = 'base'").select("bucket", "hero", "item", percent(F.col("wins"), F.col("games")).alias("bwr"))
-    who = asks(spark, d).where("slot = 1").select("request", "bucket", "hero")
-    j = out.join(who, "request").join(wr, ["bucket", "hero", "item"])
-    return j.groupBy("request", "tier").agg(
+    who = asks(spark, d).select("request", "slot", "bucket", "hero")
+    j = out.join(who, ["request", "slot"]).join(wr, ["bucket", "hero", "item"])
+    return j.groupBy("request", "slot", "tier").agg(
         F.count("*").alias("items"), F.sum("games").alias("games"), F.round(F.max(F.coalesce("delta", F.col("bwr"))), 1).alias("best")
     )
 
