@@ -1,14 +1,12 @@
 """URL filters: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
 Each key sets four bits in one 64-bit block. A URL that misses the filter is surely not listed; possible hits go on to
-an exact hash join, which removes the false positives. The filter is built as an aggregate over blocks and broadcast
-only up to ``most_blocks`` blocks (8 bytes each); beyond that bound the exact join alone decides, with equal results.
+an exact hash join, which removes the false positives. The filter is a table of blocks, built as an aggregate and met by
+block number: a join of two integers a row, which the planner broadcasts or shuffles by the table's measured size.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,26 +38,17 @@ def bits_of(key: Column) -> Column:
     return out
 
 
-def possible(df: DataFrame, key: str, listed: DataFrame, most_blocks: int) -> Column:
-    """Whether a key may be among the ``key`` values of ``listed``; true where the filter would grow past its bound."""
-    n = listed.count()
-    blocks = 1 << max(6, int(n // 4).bit_length())  # about 16 bits a key or more
-    if blocks > most_blocks:
-        return F.lit(True)
+def with_possible(df: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """Adds ``possible``: whether a key may be among the ``key`` values of ``listed``."""
+    blocks = 1 << max(6, int(listed.count() // 4).bit_length())  # about 16 bits a key or more
     block = F.pmod(F.xxhash64(key), F.lit(blocks))
-    rows = listed.groupBy(block.alias("block")).agg(F.bit_or(bits_of(F.col(key))).alias("bits")).toPandas()  # ``blocks`` rows at most
-    words = np.zeros(blocks, np.int64)
-    words[rows["block"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(words)
+    held = stage(listed.groupBy(block.alias("block_")).agg(F.bit_or(bits_of(F.col(key))).alias("bits_")), "blocks")
+    asked = bits_of(F.col(key))
+    probed = df.withColumn("block_", block).join(held, "block_", "left")
+    return probed.withColumn("possible", F.coalesce(F.col("bits_").bitwiseAND(asked) == asked, F.lit(False))).drop("block_", "bits_")
 
-    @F.pandas_udf("boolean")
-    def probe(block: pd.Series, bits: pd.Series) -> pd.Series:
-        return pd.Series((shared.value[block.to_numpy()] & bits.to_numpy()) == bits.to_numpy())
 
-    return probe(block, bits_of(F.col(key)))
-
-
-def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, most_blocks: int = 4_000_000, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row; ``listed`` holds canonical URLs in ``canonical``.
 
     A null url, or one without ``://``, has an empty host and path, no rule, and is allowed. Nulls in ``listed`` are
@@ -73,12 +62,13 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, most_blocks: in
         rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, what).otherwise(verdict)
     names = stage(listed.where("canonical is not null and canonical <> ''").select("canonical").distinct(), "listed")
     ruled = rows.withColumns({"rule": rule, "by_rule": verdict, "canonical": canonical(F.col("host"), F.col("path"))})
-    ruled = stage(ruled.withColumn("possible", possible(ruled, "canonical", names, most_blocks)), "probed")
-    open_ = F.col("by_rule").isNull() & F.col("possible")
-    exact = ruled.where(open_).join(names.withColumn("hit", F.lit(True)), "canonical", "left")
+    settled = F.col("by_rule").isNotNull()
+    probed = stage(with_possible(ruled.where(~settled), "canonical", names), "probed")
+    exact = probed.where("possible").join(names.withColumn("hit", F.lit(True)), "canonical", "left")
     columns = ["page_id", "host", "path", "rule"]
     asked = exact.select(*columns, F.when(F.col("hit"), "block").otherwise("allow").alias("verdict"))
-    return ruled.where(~open_).select(*columns, F.coalesce("by_rule", F.lit("allow")).alias("verdict")).unionByName(asked)
+    free = probed.where("not possible").select(*columns, F.lit("allow").alias("verdict"))
+    return ruled.where(settled).select(*columns, F.col("by_rule").alias("verdict")).unionByName(free).unionByName(asked)
 
 
 def tracked(pages: DataFrame) -> DataFrame:
