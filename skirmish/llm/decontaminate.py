@@ -3,6 +3,7 @@
 With an error budget of ``k`` edits a test item is split into ``k + 1`` pieces; at most ``k`` of them can be hit by an
 edit, so one piece stands unchanged wherever the item stands. All pieces are found in one pass over a document (an
 Aho-Corasick automaton), and the window around each hit is verified with Myers' bit-parallel distance.
+An item under SHORT signs has no errors to spare: it counts where it stands as it is, between word borders.
 Items are asked in blocks of bounded size, each block in a pass over all documents, so no automaton outgrows a worker.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from skirmish.llm.common import free_name, whole_text
 
 SIGNS = re.compile(r"[\W_]+")
+SHORT = 30
 HITS = "array<struct<item_id: long, distance: int>>"
 
 
@@ -27,7 +29,7 @@ def plain(text: str) -> str:
 
 
 def budget(length: int, share: int = 16) -> int:
-    return max(1, length // share)
+    return max(1, length // share) if length >= SHORT else 0
 
 
 def pieces_of(item: str, k: int) -> list[tuple[int, str]]:
@@ -92,6 +94,10 @@ class Items:
                 if best.get(i) == 0 or tried.get(i) == start:
                     continue
                 tried[i] = start
+                if k == 0:
+                    if (start == 0 or text[start - 1] == " ") and text[end + 1 : end + 2] in ("", " "):
+                        best[i] = 0
+                    continue
                 got = scan(signs, len(item), text[max(0, start - k) : start + len(item) + k])
                 if got <= k and got < best.get(i, k + 1):
                     best[i] = got
@@ -101,7 +107,7 @@ class Items:
 _built: dict[str, Items] = {}
 
 
-def finders(benchmark: DataFrame, least: int = 30, block_chars: int = 2_000_000, item_column: str = "item_id", text_column: str = "text") -> list:
+def finders(benchmark: DataFrame, block_chars: int = 2_000_000, item_column: str = "item_id", text_column: str = "text") -> list:
     """A function of a text column for each block of items, giving the items found in each text."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), whole_text(text_column).alias("text")).where("item_id is not null")
@@ -124,7 +130,7 @@ def finders(benchmark: DataFrame, least: int = 30, block_chars: int = 2_000_000,
     out = []
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # one block
-        plain_rows = sorted({(r[0], t) for r in rows if len(t := plain(r[1])) >= least})
+        plain_rows = sorted({(r[0], t) for r in rows if (t := plain(r[1]))})
         if plain_rows:
             out.append(finder(plain_rows))
     return out
@@ -134,7 +140,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
     """``doc_id, item_id, distance`` for each row of docs and item found in its whole text.
 
     Null and empty texts hold nothing; a null doc_id keeps its rows; repeated rows give rows each; items that are null,
-    without id or under 30 signs are not asked; an empty table gives no rows; other columns are not read.
+    without id or without a letter or digit are not asked; an empty table gives no rows; other columns are not read.
     """
     parts = [
         docs.select(F.col(id_column).alias("doc_id"), F.explode(find(whole_text(text_column))).alias("hit")).select("doc_id", "hit.item_id", "hit.distance")
