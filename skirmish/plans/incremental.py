@@ -1,10 +1,8 @@
 """The same recommendations from mergeable sums: only unseen matches are counted.
 
-State layout (all Parquet, see sources.snapshot for the manifest rule)::
-
-    <state>/gen=N/counts, comp, team     sums over all matches so far
-    <state>/seen/gen=N                   ids added by generation N, by block of ids (append only)
-    <state>/gen=N/_manifest              written last; names the files counted so far
+State: tables ``counts``, ``comp`` and ``team`` (sums over all matches so far) and ``seen`` (their ids as bitmaps, a row for
+each block of 32,768 ids), published together, so that a batch is counted and remembered or neither (sources.snapshot).
+The manifest names the files counted so far.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.config import DAY, Config
@@ -24,9 +22,9 @@ from skirmish.plans import recommend
 from skirmish.session import stage
 from skirmish.sources import snapshot
 
-VERSION = 1
-ID_BLOCK = 1 << 22
-MAX_BLOCKS = 10_000
+VERSION = 2
+PARTS = ("counts", "comp", "team", "seen")
+SEEN = "block long, bits binary"
 
 
 def state_config(cfg: Config) -> Config:
@@ -43,20 +41,21 @@ def fingerprint(model: ItemModel, cfg: Config) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-def _block(column: str = "match_id") -> Column:
-    return F.expr(f"{column} div {ID_BLOCK}")
+def id_bits(ids: DataFrame) -> DataFrame:
+    """(block, bits): the ids of a table as bitmaps, combined before the shuffle."""
+    block = F.bitmap_bucket_number("match_id")
+    return ids.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("match_id")).alias("bits"))
 
 
-def unseen(spark: SparkSession, matches: DataFrame, state: str, seen_gens: Sequence[int]) -> DataFrame:
-    """Rows of matches not counted before. Only the id blocks of the batch are read from ``seen``."""
-    paths = [f"{state}/seen/gen={g}" for g in seen_gens]
-    if not paths:
-        return matches
-    seen = spark.read.option("basePath", f"{state}/seen").schema("match_id bigint, block bigint, gen int").parquet(*paths)
-    blocks = matches.select(_block().alias("b")).distinct().limit(MAX_BLOCKS + 1).collect()
-    if len(blocks) <= MAX_BLOCKS:
-        seen = seen.where(F.col("block").isin(*[r["b"] for r in blocks]))
-    return matches.join(seen.select("match_id"), "match_id", "left_anti")
+def unseen(matches: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Ids of matches that were not counted before. Only ids and bitmaps meet, never rows."""
+    ids = matches.select("match_id").distinct()
+    if seen is None:
+        return ids
+    asked = ids.withColumns({"block": F.bitmap_bucket_number("match_id"), "at": F.bitmap_bit_position("match_id")})
+    byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    known = F.call_function("bit_get", byte, (F.col("at") % 8).cast("int")) == 1
+    return asked.join(seen, "block", "left").where(~F.coalesce(known, F.lit(False))).select("match_id")
 
 
 def add_batch(
@@ -66,24 +65,27 @@ def add_batch(
     epoch = manifest.get("epoch")
     if epoch is None:
         epoch = int(matches.agg(F.min("start_time")).first()[0] or 0) // DAY * DAY
-    fresh = unseen(spark, matches, state, manifest.get("seen", []))
+    before = snapshot.newest(spark, state)
+    old = {n: spark.read.parquet(f"{before[0]}/{n}") for n in PARTS} if before else {}
+    ids = stage(unseen(matches, old.get("seen")), "new_ids")
+    fresh = matches.join(ids, "match_id", "left_semi")
     ready = recommend.prepare_teams(fresh, model, cfg, epoch=epoch)
     per_match = ready.teams.groupBy("match_id").agg(F.first("bucket").alias("bucket"), F.min("start_time").alias("start"))
     facts = per_match.groupBy("bucket").agg(F.count("*").alias("m"), F.min("start").alias("lo"), F.max("start").alias("hi")).collect()
     done = {**manifest, "epoch": epoch, "files": {**manifest.get("files", {}), **files}}
-    previous = snapshot.resolve(spark, state)
     if not facts:
-        if previous is not None:
-            snapshot.publish(spark, state, {n: spark.read.parquet(f"{previous}/{n}") for n in ("counts", "comp", "team")}, done)
+        if old:
+            snapshot.publish(spark, state, old, done)
         return done
     patches = ready.teams.select("patch", F.size("players").alias("k")).groupBy("patch").agg(F.sum("k").alias("k")).collect()
     parts = {
         "counts": cnt.count_teams(ready.teams),
         "comp": hero_ops.component_share(ready.teams, model.parts).select("y", "itself", "players"),
         "team": hero_ops.team_counts(ready.teams),
+        "seen": id_bits(ids),
     }
-    if previous is not None:
-        parts = {n: _merged(n, spark.read.parquet(f"{previous}/{n}"), df) for n, df in parts.items()}
+    if old:
+        parts = {n: _merged(n, old[n], df) for n, df in parts.items()}
     info = done.get("info", {"by_bucket": {}, "patches": {}, "matches": 0, "first": None, "last": None})
     info = json.loads(json.dumps(info))
     for r in facts:
@@ -93,11 +95,8 @@ def add_batch(
         info["last"] = r["hi"] if info["last"] is None else max(info["last"], r["hi"])
     for r in patches:
         info["patches"][str(r["patch"])] = info["patches"].get(str(r["patch"]), 0) + r["k"]
-    gen = snapshot.next_generation(spark, state)
-    ids = per_match.select("match_id", _block().alias("block"))
-    ids.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(f"{state}/seen/gen={gen}")
-    done.update(info=info, seen=[*manifest.get("seen", []), gen])
-    snapshot.publish(spark, state, parts, done, gen)
+    done.update(info=info)
+    snapshot.publish(spark, state, parts, done)
     return done
 
 
@@ -105,6 +104,8 @@ def _merged(name: str, total: DataFrame, delta: DataFrame) -> DataFrame:
     """total + delta by key; the written generation is new, so an input is never overwritten."""
     if name == "counts":
         return cnt.merge(total, delta)
+    if name == "seen":
+        return total.unionByName(delta).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
     keys = {"comp": ["y"], "team": ["bucket", "y"]}[name]
     values = {"comp": ["itself", "players"], "team": ["pairs", "expected"]}[name]
     both = total.select(*keys, *values).unionByName(delta.select(*keys, *values))
@@ -125,12 +126,11 @@ def update(
     """
     cfg = state_config(cfg)
     stamp = fingerprint(model, cfg)
-    base = snapshot.resolve(spark, state)
-    manifest = snapshot.read_manifest(spark, base) if base else {}
+    base, manifest = snapshot.newest(spark, state) or (None, {})
     if needs_rebuild(manifest, stamp, files):
-        manifest = {"version": VERSION, "fingerprint": stamp, "files": {}, "seen": []}
+        manifest = {"version": VERSION, "fingerprint": stamp, "files": {}}
         if base is not None:
-            empty = {n: spark.read.parquet(f"{base}/{n}").where(F.lit(False)) for n in ("counts", "comp", "team")}
+            empty = {n: spark.read.parquet(f"{base}/{n}").where(F.lit(False)) for n in PARTS}
             snapshot.publish(spark, state, empty, manifest)
     new = sorted(set(files) - set(manifest.get("files", {})))
     for i in range(0, len(new), files_per_batch):
@@ -141,8 +141,7 @@ def update(
 
 def stored_counts(spark: SparkSession, state: str, cfg: Config) -> tuple[DataFrame, dict]:
     """Sums rebased to the newest match, so they equal a count from scratch."""
-    base = snapshot.resolve(spark, state)
-    manifest = snapshot.read_manifest(spark, base)
+    base, manifest = snapshot.newest(spark, state)
     factor = 2.0 ** ((manifest["epoch"] - manifest["info"]["last"]) / cfg.half_life_sec)
     return cnt.scaled(spark.read.parquet(f"{base}/counts"), factor), manifest
 
@@ -166,12 +165,18 @@ def recommendations_from_state(
 
 
 def stream_batches(state: str, model: ItemModel, cfg: Config):
-    """A foreachBatch function: each micro-batch is one incremental batch, safe to repeat."""
+    """A foreachBatch function: each micro-batch is one incremental batch, safe to repeat.
+
+    A state of other parameters is refused: a stream can't read again what it has behind it (see ``update``).
+    """
+    stamp = fingerprint(model, state_config(cfg))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = snapshot.resolve(spark, state)
-        manifest = snapshot.read_manifest(spark, base) if base else {"version": VERSION, "files": {}, "seen": []}
+        found = snapshot.newest(spark, state)
+        manifest = found[1] if found else {"version": VERSION, "fingerprint": stamp, "files": {}}
+        if (manifest.get("version"), manifest.get("fingerprint")) != (VERSION, stamp):
+            raise ValueError("the state was counted with other parameters")
         add_batch(spark, stage(batch, "batch"), state, manifest, model, state_config(cfg), {f"batch-{batch_id}": 0})
 
     return handle

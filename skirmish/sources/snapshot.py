@@ -1,71 +1,64 @@
-"""Versioned folders with a manifest written last; readers take the newest complete generation."""
+"""Published tables in folders of their own and a log that names the complete ones; readers take the newest.
+
+Publishing writes the tables under a new name and then appends one row to the log. What fails before that row is never
+seen and never written over. One writer at a time.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARKER = "_manifest"
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def list_names(spark: SparkSession, path: str) -> list[str]:
-    fs, p = _fs(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-
-def file_sizes(spark: SparkSession, path: str) -> dict[str, int]:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return {}
-    return {s.getPath().getName(): s.getLen() for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith((".", "_"))}
+LOG = "generation long, folder string, manifest string"
 
 
-def generations(spark: SparkSession, root: str) -> list[int]:
-    """Complete generations, newest first: those whose manifest was committed."""
-    found = [int(n[4:]) for n in list_names(spark, root) if n.startswith("gen=")]
-    return sorted((g for g in found if exists(spark, f"{root}/gen={g}/{MARKER}/_SUCCESS")), reverse=True)
+def generations(spark: SparkSession, root: str) -> DataFrame | None:
+    """The log: a row for each complete generation; None before the first."""
+    try:
+        return spark.read.schema(LOG).parquet(f"{root}/log")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def next_generation(spark: SparkSession, root: str) -> int:
-    """A number no folder has, complete or not, so that a failed attempt is never written over."""
-    return 1 + max([int(n[4:]) for n in list_names(spark, root) if n.startswith("gen=")], default=0)
+def newest(spark: SparkSession, root: str) -> tuple[str, dict] | None:
+    """(folder, manifest) of the newest complete generation."""
+    log = generations(spark, root)
+    row = None if log is None else log.orderBy(F.desc("generation")).first()
+    return None if row is None else (f"{root}/{row['folder']}", json.loads(row["manifest"]) | {"generation": row["generation"]})
 
 
 def resolve(spark: SparkSession, root: str) -> str | None:
-    newest = generations(spark, root)
-    return f"{root}/gen={newest[0]}" if newest else None
+    found = newest(spark, root)
+    return found and found[0]
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], manifest: dict, generation: int | None = None) -> str:
-    """Write the tables, then the manifest. An existing folder is never overwritten."""
-    generation = next_generation(spark, root) if generation is None else generation
-    base = f"{root}/gen={generation}"
+def write_tables(tables: dict[str, DataFrame], root: str) -> str:
+    """The tables under a name that nothing else has; nobody reads them before the log names it."""
+    folder = f"data/{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.option("compression", "zstd").parquet(f"{base}/{name}")
-    write_manifest(spark, base, {**manifest, "generation": generation})
-    return base
+        df.write.option("compression", "zstd").parquet(f"{root}/{folder}/{name}")
+    return folder
 
 
-def write_manifest(spark: SparkSession, base: str, manifest: dict) -> None:
-    text = spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False, sort_keys=True),)], "value string")
-    text.coalesce(1).write.text(f"{base}/{MARKER}")
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], manifest: dict) -> str:
+    """Write the tables, then their row of the log."""
+    folder = write_tables(tables, root)
+    before = newest(spark, root)
+    row = (1 + (before[1]["generation"] if before else 0), folder, json.dumps(manifest, ensure_ascii=False, sort_keys=True))
+    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    return f"{root}/{folder}"
 
 
-def read_manifest(spark: SparkSession, base: str) -> dict:
-    return json.loads(spark.read.text(f"{base}/{MARKER}").first()[0])
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size) of the files of a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

@@ -212,3 +212,8 @@ team_pairs AS (
   FROM (SELECT DISTINCT bucket, y FROM odds) LEFT JOIN chance USING (bucket, y) LEFT JOIN both_own USING (bucket, y)
 ),
 team_items AS (SELECT bucket, y FROM team_pairs ANTI JOIN dropped USING (y) WHERE expected >= 2 AND pairs <= 0.98 * expected)"""
+
+
+ANSWER_COLS = """bucket, role, CAST(hero AS VARCHAR) AS hero, ctx, CAST(place AS INTEGER) AS place, y, round(score, 5) AS score, round(a_s, 6) AS a_s, round(b_s, 6) AS b_s,
+conf, round(games, 5) AS games, rule"""
+S_L2 = (PARTS_LEFT_OUT, level("L2", "met_l2"), level("L3", "met_l3"), spread("met_l2"), MECHANICS_PRIOR, shrunk("met_l2", "s_l2", "mechanics_prior"))
