@@ -27,6 +27,34 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= k)
 
 
+def newest_per_key(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], k: int, slice_width: float) -> DataFrame:
+    """The ``k`` newest rows of each key by (time, order), both descending; ``order`` makes rows of one time unique.
+
+    Rows are counted per key and slice of time first, combined before the shuffle. Counts name the slice of each key in
+    which its k-th row lies: newer slices are kept as they are, older ones dropped, and only that one slice is ranked.
+    The result of two kept tables together is that of both inputs together, so batches can be merged.
+    """
+    keys = list(keys)
+    sliced = df.withColumn("slice_", F.floor(F.col(time) / slice_width))
+    sizes = sliced.groupBy(*keys, "slice_").agg(F.count("*").alias("n_"))
+    down = Window.partitionBy(*keys).orderBy(F.col("slice_").desc())
+    before = F.coalesce(F.sum("n_").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = sizes.withColumn("before_", before).where(F.col("before_") < k).withColumn("whole_", F.col("before_") + F.col("n_") <= k)
+    keep = [F.col(f"r_.{x}").eqNullSafe(F.col(f"w_.{x}")) for x in keys] + [F.col("r_.slice_").eqNullSafe(F.col("w_.slice_"))]
+    rows = sliced.alias("r_").join(wanted.select(*keys, "slice_", "before_", "whole_").alias("w_"), keep).select("r_.*", "before_", "whole_")
+    cut = rows.where("not whole_")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(time).desc(), *[F.col(c).desc() for c in order]))
+    cut = cut.withColumn("place_", place).where(F.col("place_") <= k - F.col("before_")).drop("place_")
+    return rows.where("whole_").unionByName(cut).drop("slice_", "before_", "whole_")
+
+
+def last_distinct(df: DataFrame, keys: Sequence[str], item: Sequence[str], time: str, order: Sequence[str], k: int, slice_width: float) -> DataFrame:
+    """(keys, item, time, order) of the ``k`` different items that each key had last, each with its last row."""
+    place = F.max(F.struct(time, *order)).alias("l_")
+    latest = df.groupBy(*keys, *item).agg(place).select(*keys, *item, "l_.*")
+    return newest_per_key(latest, keys, time, order, k, slice_width)
+
+
 def max_scalar(df: DataFrame, column: Column) -> Column:
     """``max(column)`` of the whole table as a scalar subquery (no global window)."""
     return df.agg(F.max(column).alias("m")).scalar()

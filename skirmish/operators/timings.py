@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skirmish.config import DAY, TimingConfig
 from skirmish.functions.game import role_of
-from skirmish.operators.rows import max_scalar, newest
+from skirmish.operators.rows import max_scalar, newest_per_key
 
 
 def sample_players(matches: DataFrame, cfg: TimingConfig) -> DataFrame:
@@ -63,9 +63,10 @@ def look_up(asks: DataFrame, table: DataFrame, generated_at: int, now: int, cfg:
     return a.join(live.where(F.col("samples") >= cfg.min_samples), ["hero", "bucket", "role", "item"], "left")
 
 
-def keep_newest(samples: DataFrame, limit: int) -> DataFrame:
-    """The newest ``limit`` samples by (start_time, match_id)."""
-    return newest(samples, ["start_time", "match_id"], limit)
+def keep_newest(kept: DataFrame, fresh: DataFrame | None, keys: list[str], limit: int) -> DataFrame:
+    """The newest ``limit`` samples of each cell by (start_time, match_id), of what was kept and what is new."""
+    both = kept if fresh is None else kept.unionByName(fresh)
+    return newest_per_key(both, keys, "start_time", ["match_id"], limit, 30 * DAY)
 
 
 def validate(table: DataFrame) -> DataFrame:

@@ -62,7 +62,10 @@ def active(states: DataFrame) -> DataFrame:
 
 
 def match_events(states: DataFrame) -> DataFrame:
-    return states.select("ts", "match_id", F.inline("events"))
+    """(ts, match_id, event_type, clock, game_time, payload) of each event of each packet; ``payload`` is canonical JSON, names in
+    order at every level, so that copies of an event are equal texts."""
+    events = states.select("ts", "match_id", F.inline("events"))
+    return events.withColumn("payload", F.coalesce(F.to_json(F.try_parse_json("payload")), "payload"))
 
 
 def new_events(events: DataFrame, keys: Sequence[str], time: str = "ts", delay: str = "10 minutes") -> DataFrame:

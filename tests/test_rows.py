@@ -81,3 +81,22 @@ def test_newest_orders_negative_values(spark):
     df = small_table(spark, [(x,) for x in data], "x bigint")
     for k in (1, 3, 100, 203):
         assert {r["x"] for r in rows.newest(df, ["x"], k).collect()} == set(sorted(data)[-k:])
+
+
+def test_newest_per_key_and_merged_batches(spark):
+    rng = random.Random(9)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(-50, 300), i) for i in range(400)]
+    table = lambda part: small_table(spark, part, "k string, t int, i int")
+    want = {r for k in ("a", "b", None) for r in sorted((x for x in data if x[0] == k), key=lambda x: x[1:])[-30:]}
+    for width in (1.0, 40.0, 1e6):
+        got = rows.newest_per_key(table(data), ["k"], "t", ["i"], 30, width)
+        assert {tuple(r) for r in got.collect()} == want
+    halves = [rows.newest_per_key(table(data[s]), ["k"], "t", ["i"], 30, 40.0) for s in (slice(0, 150), slice(150, 400))]
+    assert {tuple(r) for r in rows.newest_per_key(halves[0].unionByName(halves[1]), ["k"], "t", ["i"], 30, 40.0).collect()} == want
+    last = rows.last_distinct(table(data).withColumn("x", F.col("i") % 7), ["k"], ["x"], "t", ["i"], 3, 40.0)
+    for key in ("a", "b", None):
+        latest = {}
+        for k, t, i in data:
+            if k == key:
+                latest[i % 7] = max(latest.get(i % 7, (t, i)), (t, i))
+        assert {r.x for r in last.collect() if r.k == key} == {x for x, _ in sorted(latest.items(), key=lambda e: e[1])[-3:]}
