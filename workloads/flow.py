@@ -484,7 +484,19 @@ def packet_sessions(spark, d):
     return s.select("user_id", (F.unix_timestamp("first_at") - 1704067200).alias("first_at"), "packets")
 
 
-@query("stream_merged_voices")
+@query("stream_merged_voices", T.with_sql(EV, HEADS_SQL.format(gap=40001).replace("WHERE event_type = 'error'", ""), """
+grouped AS (
+  SELECT user_id, head, count(*)::INTEGER AS alerts, first(event_type ORDER BY k % 4 DESC, sec, event_type) AS event_id, max(k % 4) AS priority,
+         row_number() OVER (PARTITION BY user_id ORDER BY head) AS rn, lead(head) OVER (PARTITION BY user_id ORDER BY head) IS NULL AS final
+  FROM (SELECT e.*, h.sec AS head FROM ev e ASOF JOIN heads h ON h.user_id = e.user_id AND h.sec <= e.sec) GROUP BY user_id, head
+),
+voiced AS (
+  SELECT *, true AS spoken, head AS voice FROM grouped WHERE rn = 1
+  UNION ALL SELECT g.*, g.priority >= 3 OR g.head - v.voice >= 30000, if(g.priority >= 3 OR g.head - v.voice >= 30000, g.head, v.voice)
+  FROM voiced v JOIN grouped g ON g.user_id = v.user_id AND g.rn = v.rn + 1
+),
+over AS (SELECT user_id FROM events GROUP BY user_id HAVING epoch_ms(max(ts)) + 10800000 < (SELECT epoch_ms(max(ts)) FROM events) - 600000)""") + """
+SELECT user_id, head::INTEGER AS head, alerts, event_id, priority, spoken FROM voiced WHERE NOT final OR user_id IN (FROM over)""")
 def stream_merged_voices(spark, d):
     """Anchored groups with the voice limit on keyed state."""
     e = T2.events_stream(spark, d).select("ts", "user_id", F.col("sec").cast("int").alias("fire_time"), (F.col("k") % 4).alias("priority"), F.col("event_type").alias("event_id"))

@@ -20,7 +20,7 @@ from skirmish.sources import keyed, slices
 from workloads import tables as T
 from workloads import tables2 as T2
 from workloads import twins as W
-from workloads.core import BASE, BUYS, DIMS, GAMES, LINES, SHARES, counts_of, players_of, r6, recs_of, teams_of
+from workloads.core import BASE, BUYS, CLASSES, DIMS, GAMES, LINES, S_HERO, SHARES, counts_of, players_of, r6, recs_of, teams_of
 from workloads.registry import query
 
 EV = T2.SQL_EVENTS
@@ -427,17 +427,44 @@ def _benchmark(spark, d):
     return stage(validate.benchmark_pairs(answers, listed, buys), "pairs")
 
 
-@query("benchmark_hit_rate")
+BENCH = T.with_sql(*S_HERO, CLASSES, BUYS, W.ranked("s_h", [("e", "s.ctx")])) + """
+, lead AS (
+  SELECT hero, role, ctx, list(y ORDER BY place) AS ys, list(conf ORDER BY place) AS confs
+  FROM placed JOIN classes USING (hero) WHERE place <= 6 AND bucket = 'normal' AND role = main_role GROUP BY ALL
+),
+listed AS (SELECT (s_suppkey % 12 + 1)::VARCHAR AS ctx, list(DISTINCT (100 + s_nationkey % 10)::INTEGER) AS ask FROM supplier GROUP BY ALL),
+bench AS (
+  SELECT lead.*, list_has_any(ask, ys[1:3]) AS hit, confs[1] <> 'low' AS confident,
+         list_intersect(ask, coalesce((SELECT list(y) FROM bo JOIN bt USING (bucket, role, hero) ANTI JOIN dropped USING (y)
+                                       WHERE bucket = 'normal' AND role = lead.role AND hero = lead.hero AND k >= 0.03 * n), [])) AS reach
+  FROM lead JOIN listed USING (ctx)
+)
+"""
+
+
+@query("benchmark_hit_rate", BENCH + """
+SELECT count(*) AS pairs, count(*) FILTER (hit) AS hits, count(*) FILTER (confident) AS pairs_confident, count(*) FILTER (confident AND hit) AS hits_confident,
+       count(*) FILTER (len(reach) > 0) AS pairs_reachable, count(*) FILTER (len(reach) > 0 AND hit) AS hits_reachable FROM bench""")
 def benchmark_hit_rate(spark, d):
     return validate.benchmark_shares(_benchmark(spark, d))
 
 
-@query("benchmark_disagreements")
+@query("benchmark_disagreements", BENCH + """
+, missed AS (
+  SELECT b.hero, b.ctx AS enemy, max({'games': p.games, 'y': p.y, 'a': p.a_s, 'pos': p.place}) FILTER (p.y IS NOT NULL) AS best
+  FROM bench b LEFT JOIN placed p ON p.hero = b.hero AND p.role = b.role AND p.ctx = b.ctx AND p.bucket = 'normal' AND p.place <= 6 AND list_contains(b.reach, p.y)
+  WHERE len(reach) > 0 AND NOT hit GROUP BY ALL
+)
+SELECT hero::VARCHAR AS hero, enemy, best.y AS y, best.pos::INTEGER AS pos, if(best IS NULL, 'filtered', if(best.a <= 0, 'not confirmed', 'both right')) AS verdict, round(coalesce(best.games, 0), 5) AS weight
+FROM missed ORDER BY coalesce(best.games, 0) DESC, hero::VARCHAR, enemy LIMIT 10""")
 def benchmark_disagreements(spark, d):
-    return validate.disagreements(_benchmark(spark, d))
+    return r6(validate.disagreements(_benchmark(spark, d)), "weight", digits=5)
 
 
-@query("answer_report")
+@query("answer_report", T.with_sql(*S_HERO, W.ranked("s_h", [("e", "s.ctx")])) + """
+SELECT bucket, hero, role, ctx, max(cell) FILTER (place = 1) AS first, max(cell) FILTER (place = 2) AS second, max(cell) FILTER (place = 3) AS third
+FROM (SELECT bucket, hero::VARCHAR AS hero, role, ctx, place, printf('**%d** A %+.1f, B %+.1f, %d', y, a_s * 100, coalesce(b_s, 0) * 100, round(games)::BIGINT) AS cell FROM placed WHERE place <= 3)
+GROUP BY ALL""")
 def answer_report(spark, d):
     """Top-3 answers side by side for every hero pair."""
     hero = stage(recs_of(spark, d, T.SOLO, None, ("hero",))["hero"], "hero")
@@ -445,9 +472,14 @@ def answer_report(spark, d):
     return out.withColumnsRenamed({"1": "first", "2": "second", "3": "third"})
 
 
-@query("hero_slices")
+SLICE = """SELECT '{name}' AS "table", bucket, role, hero::VARCHAR AS hero, ctx, place::INTEGER AS place, y, round(score, 2) AS score, round(a_s * 100, 1) AS a_pp,
+       round(coalesce(b_s, 0) * 100, 1) AS b_pp, conf, round(games)::BIGINT AS games, coalesce(rule, 'exp') AS source FROM placed_{name} SEMI JOIN often USING (bucket, role, hero) WHERE place <= 6"""
+
+
+@query("hero_slices", T.with_sql(*BASE, *W.S_L2, W.level("hero", "met_h"), W.shrunk("met_h", "s_h"), W.ranked("s_h", [("e", "s.ctx")], tag="_hero"), W.ranked("s_l2", [("x", "s.ctx")], tag="_item"), """
+often AS (SELECT bucket, role, hero FROM pg GROUP BY bucket, role, hero QUALIFY sum(wt) >= 0.1 * sum(sum(wt)) OVER (PARTITION BY bucket, hero))""") + SLICE.format(name="hero") + " UNION ALL " + SLICE.format(name="item"))
 def hero_slices(spark, d):
-    """Answers written as one folder per hero (rare roles dropped), coded, and one slice read back."""
+    """Answers written as one folder per hero (rare roles dropped), coded, every slice read back and decoded."""
     from skirmish.operators.answers import export_rows
     from skirmish.session import scratch_path
 
@@ -456,7 +488,8 @@ def hero_slices(spark, d):
     sources = ["exp"] + sorted({r[0] for r in T.RULES})
     tables = {n: slices.encode(export_rows(slices.common_roles(recs[n], recs["roles"], 0.1)), sources) for n in ("hero", "item")}
     slices.write_slices(tables, path)
-    return slices.nested_json(slices.read_slice(spark, path, "3").where("table = 'hero'"))
+    out = slices.decode(slices.read_all(spark, path), sources)
+    return out.select("table", "bucket", "role", F.col("hero").cast("string").alias("hero"), "ctx", "place", "y", "score", "a_pp", "b_pp", "conf", "games", "source")
 
 
 # ---- text ------------------------------------------------------------------------------------

@@ -158,8 +158,8 @@ mechanics_prior AS (
 ITEMS_PRIOR = "items_prior AS (SELECT bucket, role, hero, ctx, y, a_s AS a, b_s AS b FROM s_l2)"
 
 
-def ranked(src: str, rules: list[tuple[str, str]], sure_only: bool = False) -> str:
-    """CTEs up to ``placed``: the answers of each (bucket, role, hero, ctx) in order. ``rules``: kinds of rules, first wins,
+def ranked(src: str, rules: list[tuple[str, str]], sure_only: bool = False, tag: str = "") -> str:
+    """CTEs up to ``placed<tag>``: the answers of each (bucket, role, hero, ctx) in order. ``rules``: kinds of rules, first wins,
     with the part of ``ctx`` that they look at."""
     told = " UNION ALL ".join(
         f"SELECT s.ctx, s.y, r.rule, r.broad, {i} AS turn FROM (SELECT DISTINCT ctx, y FROM {src}) s JOIN rule_of r ON (r.kind, r.ctx, r.y) = ('{kind}', {part}, s.y)"
@@ -167,21 +167,21 @@ def ranked(src: str, rules: list[tuple[str, str]], sure_only: bool = False) -> s
     )
     sure = "AND conf <> 'low'" if sure_only else ""
     return f"""
-told AS (SELECT DISTINCT ON (ctx, y) * FROM ({told}) ORDER BY ctx, y, turn),
-weighed AS (
+told{tag} AS (SELECT DISTINCT ON (ctx, y) * FROM ({told}) ORDER BY ctx, y, turn),
+weighed{tag} AS (
   SELECT {src}.*, a_s - {Z90} * sqrt(greatest(coalesce(va_s, 0), 0)) AS a_low, b_s + {Z90} * sqrt(if(vb_s < 0, 0, vb_s)) AS b_high,
          a_s / (SELECT stddev_samp(a_s) FROM {src}) AS score, rule AS named, coalesce(broad, false) AS broad
-  FROM {src} LEFT JOIN told USING (ctx, y)
+  FROM {src} LEFT JOIN told{tag} USING (ctx, y)
 ),
-graded AS (
+graded{tag} AS (
   SELECT * REPLACE (if(broad AND a_low <= 0, NULL, named) AS named),
          if(coalesce(var_a > tau_a, true) OR games < 20, 'low', if(games < 60, 'mid', 'high')) AS conf,
          row_number() OVER (PARTITION BY bucket, role, hero, ctx ORDER BY round(a_s, 9) DESC, y) AS by_lift
-  FROM weighed WHERE a_s IS NOT NULL
+  FROM weighed{tag} WHERE a_s IS NOT NULL
 ),
-placed AS (
+placed{tag} AS (
   SELECT * RENAME (named AS rule), row_number() OVER (PARTITION BY bucket, role, hero, ctx ORDER BY named IS NULL OR a_s <= 0, round(score, 9) DESC, y) AS place
-  FROM graded
+  FROM graded{tag}
   WHERE (by_lift <= 5 OR named IS NOT NULL) AND coalesce(b_high * 100 >= -2, true) AND a_low > 0 AND a_s * 100 >= 1 {sure}
 )"""
 
