@@ -19,34 +19,32 @@ class Spread:
     estimated: bool
 
 
-def spread_moments(metrics: DataFrame, value: str, var: str, min_games: float) -> DataFrame:
-    """One row with the moments of the between-cell spread."""
-    v, g = F.col(var), F.col("games")
-    used = F.col(value).isNotNull() & (v > 0) & (g >= max(min_games, 1e-9))
-    return metrics.agg(
-        F.count_if(used).alias("cells"),
-        F.var_samp(F.when(used, F.col(value))).alias("total_var"),
-        F.avg(F.when(used, v)).alias("within_var"),
-        F.avg(F.when(used, v * g)).alias("sigma2"),
-        F.avg(F.when((v > 0) & (g > 0), v * g)).alias("sigma2_all"),
-    )
-
-
-def eb_spread(metrics: DataFrame, value: str, var: str, default_k: float, min_games: float = 0.0) -> Spread:
-    """Variance of the true values by the method of moments; one row comes to the driver."""
-    m = spread_moments(metrics, value, var, min_games).first()
-    tau2 = m["total_var"] - m["within_var"] if m["cells"] >= 30 and m["total_var"] is not None else None
-    if not tau2 or tau2 <= 0 or not m["sigma2"]:
-        sigma2 = m["sigma2_all"] or 0.25
-        return Spread(sigma2 / default_k, default_k, False)
-    return Spread(tau2, m["sigma2"] / tau2, True)
+def spread_table(metrics: DataFrame, cfg: Config) -> DataFrame:
+    """(metric, tau2, k, estimated) of A and B in one pass: the spread of the true values between cells by moments.
+
+    Where too few cells tell or noise explains all, the default strength stands in.
+    """
+    one = lambda name, value, var, usual: F.struct(F.lit(name).alias("metric"), F.col(value).alias("value"), F.col(var).alias("noise"), F.col("games"), F.lit(float(usual)).alias("usual"))
+    rows = metrics.select(F.inline(F.array(one("A", "lift_a", "var_a", cfg.k_a_default), one("B", "diff_b", "var_b", cfg.k_b_default))))
+    clear = (F.col("noise") > 0) & (F.col("games") > 0)
+    good = clear & F.col("value").isNotNull() & (F.col("games") >= cfg.eb_min_games)
+    per_game = F.col("noise") * F.col("games")
+    moments = rows.groupBy("metric", "usual").agg(
+        F.count_if(good).alias("cells"), F.avg(F.when(good, per_game)).alias("sigma2"), F.avg(F.when(clear, per_game)).alias("any_sigma2"),
+        (F.var_samp(F.when(good, F.col("value"))) - F.avg(F.when(good, F.col("noise")))).alias("between"),
+    )
+    told = F.coalesce((F.col("cells") >= 30) & (F.col("between") > 0) & (F.col("sigma2") > 0), F.lit(False))
+    default = F.coalesce(F.nullif(F.col("any_sigma2"), F.lit(0.0)), F.lit(0.25)) / F.col("usual")
+    return moments.select(
+        "metric", F.when(told, F.col("between")).otherwise(default).alias("tau2"),
+        F.when(told, F.col("sigma2") / F.col("between")).otherwise(F.col("usual")).alias("k"), told.alias("estimated"),
+    )
 
 
 def spreads(l2: DataFrame, cfg: Config) -> dict[str, Spread]:
-    return {
-        "A": eb_spread(l2, "lift_a", "var_a", cfg.k_a_default, cfg.eb_min_games),
-        "B": eb_spread(l2, "diff_b", "var_b", cfg.k_b_default, cfg.eb_min_games),
-    }
+    """``spread_table`` on the driver, two rows; a level without cells has the defaults."""
+    found = {r["metric"]: Spread(r["tau2"], r["k"], r["estimated"]) for r in spread_table(l2, cfg).collect()}
+    return {m: found.get(m) or Spread(0.25 / k, k, False) for m, k in (("A", cfg.k_a_default), ("B", cfg.k_b_default))}
 
 
 def prior_from_mechanics(l2: DataFrame, l3: DataFrame, x_mech: DataFrame) -> DataFrame:

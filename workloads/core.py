@@ -242,9 +242,7 @@ def _spreads(spark, d, model):
 @query("spread_of_effects", T.with_sql(*BASE, SHARES, W.level("L2", "met_l2"), W.spread("met_l2")) + "SELECT metric, round(tau2, 8) AS tau2, round(k, 4) AS k FROM spread")
 def spread_of_effects(spark, d):
     l2 = stage(metrics_of(spark, d, "L2"), "l2")
-    eb = shrink.spreads(l2, T.CFG)
-    parts = [l2.limit(1).select(F.lit(m).alias("metric"), F.lit(round(e.tau2, 8)).alias("tau2"), F.lit(round(e.k, 4)).alias("k")) for m, e in eb.items()]
-    return parts[0].unionByName(parts[1])
+    return r6(r6(shrink.spread_table(l2, T.CFG), "tau2", digits=8), "k", digits=4).drop("estimated")
 
 
 SMOOTH_COLS = "bucket, role, CAST(hero AS VARCHAR) AS hero, ctx, y, round(a_s, 6) AS a_s, round(va_s, 7) AS va_s, round(b_s, 6) AS b_s, round(vb_s, 7) AS vb_s"
