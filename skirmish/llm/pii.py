@@ -1,12 +1,14 @@
 """Personal data: rules for four kinds, and a linear-chain conditional random field over word shapes for what they miss.
 
 The field is trained on the driver from a small labelled table (by default ``labelled_words``, some thousand words made
-from a rule) and decoded by Viterbi in numpy, many stretches of words at a time. A span that it adds must hold a digit
-or an ``@``, and one that touches a rule's span gives way; so stretches of words without either need no decoding.
+from a rule) and decoded by Viterbi over every line of a text, in numpy and many stretches at a time. Where the weights
+prove that a word is tagged ``O`` whatever stands around it, the line is cut there with the moves from and to ``O`` kept,
+so the best tags are those of the uncut line. A span of the field that touches a rule's span gives way.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -28,6 +30,21 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
+CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]+")
+JUMP = re.compile("[a-z][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]")
+EDGE = ".,;:!?\"'*#$%&|<>"  # signs around a word that are no part of it
+LINE = re.compile("\n")
+CUES = ("token", "key", "secret", "password")
+CUE = re.compile("|".join(CUES), re.I)
+
+
+class Outline(dict):
+    """For ``str.translate``: one sign for all letters or digits that ``features_of`` takes for the same in short words."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = got = "0" if c in "0123456789" else "X" if c.isupper() else "x" if c.islower() else "\u4e00" if c.isalpha() else c
+        return got
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -73,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def shape_of(word: str) -> str:
     """Upper X, lower x, digits d, other letters l, signs themselves; runs of one kind up to four long."""
     out, run = [], 0
-    for c in word[:64]:  # a shape is a feature, not a text: 64 signs tell it
+    for c in word:
         s = "d" if c in "0123456789" else "X" if c.isupper() else "x" if c.islower() else "l" if c.isalpha() else c
         run = run + 1 if out and out[-1] == s else 1
         if run <= 4:
@@ -82,38 +99,57 @@ def shape_of(word: str) -> str:
 
 
 def features_of(word: str) -> tuple[str, ...]:
-    core = word.strip(".,;:!?\"'")
+    core = word.strip(EDGE)
     digits = sum(c in "0123456789" for c in core)
     kinds = [f"shape={shape_of(core)}", f"digits={min(digits, 20) if digits == len(core) else 'some' if digits else 'none'}"]
-    kinds += [f"has{s}" for s in "@+=()-." if s in core[1:-1]] + [f"first={shape_of(core[:1])}", f"dots={min(core.count('.'), 4)} {digits > 0}"]
-    mixed = len(core) >= 20 and digits and core.strip('"').isalnum()
-    return (*kinds, "long_mixed") if mixed else tuple(kinds)
-
-
-def labelled_words(seed: int = 7, stretches: int = 400) -> list[tuple[int, int, str, str]]:
+    kinds += [f"has{s}" for s in "@+=()-./:_" if s in core[1:-1]] + [f"first={shape_of(core[:1])}", f"dots={min(core.count('.'), 4)} {digits > 0}"]
+    if len(core) >= 20:
+        unbroken = core.isalnum() and core.isascii()
+        kinds.append(f"long={min(len(core) // 10, 4)} {unbroken} {digits > 0}")
+        if unbroken:  # words can be said, keys can't: long runs of consonants, case that jumps
+            vowels = sum(c in "aeiouyAEIOUY" for c in core) * 10 // len(core)
+            kinds += [f"vowels={min(vowels, 5)}", f"few={len(set(core)) < 5}"]
+            kinds += [f"consonants={min(max(map(len, CONSONANTS.findall(core)), default=0), 7)}", f"jumps={min(len(JUMP.findall(core)), 4)}"]
+    elif core.lower() in CUES:
+        kinds.append("cue")
+    return tuple(kinds)
+
+
+def labelled_words(seed: int = 7, stretches: int = 660) -> list[tuple[int, int, str, str]]:
     """``(stretch, position, word, tag)``: invented words around one example of a kind, or none."""
     rng = random.Random(seed)
     syllables = ["an", "the", "on", "er", "que", "ch", "ei", "ó", "li", "mar", "den", "tis"]
+    said = ["ver", "an", "lung", "scha", "ti", "on", "al", "is", "mo", "ra", "den", "streng", "wort", "in", "ter"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    long_word = lambda: "".join(rng.choice(said) for _ in range(rng.randint(6, 14)))
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    letters = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    drawn = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    low, both, hexes = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
     make = {
         "email": lambda: [[f"{word()}.{digits(2)}@{word()}.example.com"], [f"{word()}@{word()}{digits(1)}.org"], [f"{word()}_{word()}@{word()}.net"]],
         "ip": lambda: [[".".join(str(rng.randint(0, 255)) for _ in range(4))]],
         "card": lambda: [[digits(16)], [digits(4) for _ in range(4)], ["-".join(digits(4) for _ in range(4))]],
         "phone": lambda: [[f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"]],
-        "secret": lambda: [[f'"{letters(40)}"'], [letters(32)], [letters(40)]],
-    }
+        "secret": lambda: [[f'"{drawn(hexes, 40)}"'], [drawn(hexes, 32)], [drawn(hexes, 40)], [f'"{drawn(low, rng.randint(24, 48))}"'], [drawn(both, rng.randint(24, 44))], [f'"{drawn(both + "0123456789", rng.randint(24, 64))}"']],
+    }
+    plain = lambda: [
+        [digits(rng.randint(1, 5))], [f"{digits(1)}.{digits(1)}"], [f"{digits(1)}.{digits(1)}."], [f"{digits(1)}.{digits(2)}"], [f"{digits(2)}%"], [f"{word()}{digits(2)}"], [word()],
+        [long_word()], [long_word().capitalize()], [f'"{long_word()}"'], ["-".join(word() for _ in range(rng.randint(3, 8)))], ["_".join(word() for _ in range(rng.randint(3, 6)))], [f'"{word()}"'],
+        [f"https://{word()}.{word()}.org/{word()}/{word()}-{digits(2)}.html"], ["/".join(word() for _ in range(rng.randint(3, 6)))], [rng.choice("#=*-_") * rng.randint(3, 60)], [rng.choice(low) * rng.randint(20, 60)],
+    ]
     rows = []
     for s in range(stretches):
-        kind = (*KINDS, "O", "O", "O")[s % (len(KINDS) + 3)]
-        left, right = ([(w.capitalize() if rng.random() < 0.2 else w) + rng.choice(["", "", "", ".", ","]) for w in (word() for _ in range(rng.randint(2, 8)))] for _ in range(2))
-        middle = rng.choice(make[kind]()) if kind != "O" else rng.choice([[digits(rng.randint(1, 5))], [f"{digits(1)}.{digits(1)}"], [f"{digits(1)}.{digits(1)}."], [f"{digits(1)}.{digits(2)}"], [f"{digits(2)}%"], [f"{word()}{digits(2)}"], [word()]])
-        if kind == "secret":
-            left += [rng.choice(["token", "key", "secret"]), "="]
-        middle[-1] += rng.choice(["", "", ".", ","])
-        if kind == "O":
-            left.append(rng.choice(["Version", "CC", "BY-NC", "No", word()]))
+        kind = (*KINDS, "secret", *"OOOOO")[s % (len(KINDS) + 6)]
+        tails = ["", "", "", ".", ","] if rng.random() < 0.8 else ["", *(3 * sign for sign in "#*$%&~=")]
+        left, right = ([(w.capitalize() if rng.random() < 0.2 else w) + rng.choice(tails) for w in (word() for _ in range(rng.randint(0, 8)))] for _ in range(2))
+        middle = rng.choice(make[kind]() if kind != "O" else plain())
+        if (kind == "secret" and rng.random() < 0.8) or (kind == "O" and rng.random() < 0.15):
+            left += [rng.choice(CUES), rng.choice(["=", ":", "is"])]
+        middle[-1] += rng.choice(tails)
+        if kind == "O" and rng.random() < 0.4:
+            left, middle, right = [], [w.capitalize() if rng.random() < 0.5 else w for w in middle], right[: rng.randint(0, 2)]
+        elif kind == "O":
+            left.insert(0, rng.choice(["Version", "CC", "BY-NC", "No", word()]))
         words = [(w, "O") for w in left] + [(w, kind) for w in middle] + [(w, "O") for w in right]
         rows += [(s, i, w, t) for i, (w, t) in enumerate(words)]
     return rows
@@ -160,7 +196,7 @@ class Field:
             share = np.exp(np.minimum(alpha + beta - whole, 0)) * mask[..., None]
             both = alpha[:, :-1, :, None] + weights["t"] + (emit + beta)[:, 1:, None, :] - whole[..., None]
             both = np.exp(np.minimum(both, 0)) * pairs
-            slopes = {"w": np.einsum("nlf,nlk->fk", joint, gold - share), "t": gold_t - both.sum(axis=(0, 1))}
+            slopes = {"w": joint.reshape(-1, 3 * size).T @ (gold - share).reshape(-1, k), "t": gold_t - both.sum(axis=(0, 1))}
             for name, slope in slopes.items():  # Adam
                 slope = slope / max(n, 1) - decay * weights[name]
                 m, v = step.get(name, (0.0, 0.0))
@@ -191,69 +227,111 @@ class Field:
         return tags
 
 
-class Decoder:
-    """Adds the field's spans to texts. A stretch is ``reach`` words to each side of words with a digit or an ``@``."""
-
-    MARK = re.compile("[0-9@]")
-
-    def __init__(self, field: Field, reach: int = 6):
-        self.field, self.reach, self.known = field, reach, {}
+@functools.cache
+def default_field() -> Field:
+    return Field(labelled_words())
 
-    def word(self, word: str) -> np.ndarray:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            got = self.known[word] = self.field.emissions(word)
-        return got
 
-    def stretches(self, text: str) -> list[list[re.Match]]:
-        """Words around marked ones, found from the marks outwards: texts without marks cost one search."""
-        if not self.MARK.search(text):
-            return []
-        words, out, last = list(WORD.finditer(text)), [], -1
-        for i, m in enumerate(words):
-            if self.MARK.search(m.group()):
-                lo, hi = max(0, i - self.reach), min(len(words), i + self.reach + 1)
-                if out and lo <= last:
-                    out[-1] += words[last:hi]
-                else:
-                    out.append(words[lo:hi])
-                last = hi
-        return out
+class Decoder:
+    """Adds the field's spans to texts; every line is decoded, in blocks of lines of about a million signs."""
+
+    def __init__(self, field: Field, block: int = 1_000_000, words: int = 100_000):
+        self.field, self.block, self.most = field, block, words
+        self.known: dict[str, int] = {}
+        self.outline = Outline()
+        self.rows = np.zeros((1024, 3, len(TAGS)))
+        moves = field.moves
+        gain = np.maximum((moves - moves[:, :1]).max(axis=0), 0) + np.maximum((moves - moves[:1]).max(axis=1), 0)
+        self.gain = gain[1:]  # the most that another tag than O can win by its moves
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Rows of ``self.rows`` of the words; those seen are kept up to a number, which bounds memory only."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        for w in set(words) - self.known.keys():
+            n = self.known[w] = len(self.known)
+            if n == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[n] = self.field.emissions(w)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
+        at = 0
+        while at < len(text):
+            cut = text.find("\n", at + self.block)
+            end = len(text) if cut < 0 else cut + 1
+            yield at, end
+            at = end
+
+    def stretches(self, text: str, at: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and emissions of the runs of words that are not proven ``O``, the moves to their borders included."""
+        places = np.array([m.span() for m in WORD.finditer(text, at, end)], np.int64).reshape(-1, 2)
+        if not len(places):
+            return
+        keys = WORD.findall(text[at:end].translate(self.outline))
+        cues = np.array([m.start() for m in CUE.finditer(text, at, end)], np.int64)
+        own = np.union1d(np.flatnonzero(places[:, 1] - places[:, 0] >= 20), np.searchsorted(places[:, 0], cues, "right") - 1)
+        for i in own.tolist():
+            keys[i] = text[places[i, 0] : places[i, 1]]
+        n = self.numbers(keys)
+        breaks = np.array([m.start() for m in LINE.finditer(text, at, end)], np.int64)
+        line = np.searchsorted(breaks, places[:, 0])
+        same = line[1:] == line[:-1]
+        emit = self.rows[n, 0]
+        emit[1:] += self.rows[n[:-1], 1] * same[:, None]
+        emit[:-1] += self.rows[n[1:], 2] * same[:, None]
+        unsure = (emit[:, 1:] - emit[:, :1] + self.gain >= -1e-9).any(axis=1)
+        joined = unsure[1:] & unsure[:-1] & same
+        starts = np.flatnonzero(unsure & np.r_[True, ~joined])
+        ends = np.flatnonzero(unsure & np.r_[~joined, True]) + 1
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            part = emit[a:b].copy()
+            if a and same[a - 1]:
+                part[0] += self.field.moves[0]
+            if b < len(n) and same[b - 1]:
+                part[-1] += self.field.moves[:, 0]
+            yield places[a:b], part
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """``(start, kind, end)`` that the field finds in each text."""
-        jobs = [(t, s) for t, text in enumerate(texts) for s in self.stretches(text)]
-        jobs.sort(key=lambda j: len(j[1]))
         out: list[list] = [[] for _ in texts]
+        jobs, held = [], 0
+        for t, text in enumerate(texts):
+            for at, end in self.blocks(text):
+                for places, emit in self.stretches(text, at, end):
+                    jobs.append((t, places, emit))
+                    held += len(emit)
+                if held > 500_000:
+                    self.decode(jobs, texts, out)
+                    jobs, held = [], 0
+        self.decode(jobs, texts, out)
+        return out
+
+    def decode(self, jobs: list, texts: list[str], out: list[list]) -> None:
+        jobs.sort(key=lambda j: len(j[2]))
         at = 0
         while at < len(jobs):
             end = at + 1
-            while end < len(jobs) and end - at < 1024 and (end + 1 - at) * len(jobs[end][1]) < 200_000:
+            while end < len(jobs) and end - at < 4096 and (end + 1 - at) * len(jobs[end][2]) < 200_000:
                 end += 1
             group, at = jobs[at:end], end
-            lengths = np.array([len(s) for _, s in group])
+            lengths = np.array([len(emit) for _, _, emit in group])
             emit = np.zeros((len(group), lengths[-1], len(TAGS)))
-            for r, (_, stretch) in enumerate(group):
-                parts = np.stack([self.word(m.group()) for m in stretch])
-                emit[r, : len(stretch)] = parts[:, 0]
-                emit[r, 1 : len(stretch)] += parts[:-1, 1]
-                emit[r, : len(stretch) - 1] += parts[1:, 2]
+            for r, (_, _, part) in enumerate(group):
+                emit[r, : len(part)] = part
             tags = self.field.viterbi(emit, lengths)
             for r in np.flatnonzero(tags.any(axis=1)):
-                t, stretch = group[r]
-                row = tags[r, : len(stretch)]
+                t, places, _ = group[r]
+                row = tags[r, : len(places)]
                 edges = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
                 for a, b in zip(edges, edges[1:]):
                     if row[a]:
-                        start, stop = stretch[a].start(), stretch[b - 1].end()
+                        start, stop = int(places[a, 0]), int(places[b - 1, 1])
                         held = texts[t][start:stop]
-                        core = held.strip(".,;:!?\"'*#$%&|<>")
-                        start += held.find(core)
-                        if self.MARK.search(core):
+                        core = held.strip(EDGE)
+                        if core:
+                            start += held.find(core)
                             out[t].append((start, int(row[a]) - 1, start + len(core)))
-        return out
 
     def all_spans(self, texts: list[str]) -> Iterator[tuple[list, list]]:
         """The rules' spans and all spans of each text, sorted."""
@@ -283,12 +361,13 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[free:]])
 
 
-FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_added: long, redacted: string>"
+FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_added: long, all_email: long, all_ip: long, all_card: long, all_phone: long, all_secret: long, redacted: string>"
+COLUMNS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", *(f"all_{k}" for k in KINDS))
 
 
 def marked(docs: DataFrame, labelled: list[tuple[int, int, str, str]] | None, text_column: str, clean: bool):
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Field(labelled_words() if labelled is None else labelled))  # some hundred weights
+    shared = spark.sparkContext.broadcast(default_field() if labelled is None else Field(labelled))  # some hundred weights
 
     @F.pandas_udf(FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -298,21 +377,22 @@ def marked(docs: DataFrame, labelled: list[tuple[int, int, str, str]] | None, te
             for texts in in_slices(batch):
                 for text, (base, whole) in zip(texts, decoder.all_spans(texts)):
                     counts = [sum(k == kind for _, k, _ in base) for kind in range(4)]
+                    every = [sum(k == kind for _, k, _ in whole) for kind in range(len(KINDS))]
                     digest = hashlib.sha256(written(base).encode()).hexdigest()
-                    rows.append((*counts, digest, written(whole), len(whole) - len(base), redacted(text, whole) if clean else None))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "redacted"])
+                    rows.append((*counts, digest, written(whole), len(whole) - len(base), *every, redacted(text, whole) if clean else None))
+            yield pd.DataFrame(rows, columns=[*COLUMNS, "redacted"])
 
     return find(whole_text(text_column))
 
 
 def personal_data(docs: DataFrame, labelled: list[tuple[int, int, str, str]] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id``, counts and digest of the rules' spans, all spans, and ``n_added`` by the field, for each row; no shuffle.
+    """``doc_id``, counts and digest of the rules' spans, all spans, ``n_added`` by the field and ``all_<kind>`` of both; no shuffle.
 
     A null text is empty and has no spans; a null id, repeated rows and ties keep a row each; other columns are not
     read; an empty table gives no rows. ``n_email`` to ``n_phone`` count the rules' spans, as ``base_sha256`` covers.
     """
     found = docs.select(F.col(id_column).alias("doc_id"), marked(docs, labelled, text_column, False).alias("f"))
-    return found.select("doc_id", *[f"f.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")])
+    return found.select("doc_id", *[f"f.{c}" for c in COLUMNS])
 
 
 def without_personal_data(docs: DataFrame, labelled: list[tuple[int, int, str, str]] | None = None) -> DataFrame:

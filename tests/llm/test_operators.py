@@ -195,7 +195,7 @@ def test_personal_data(spark):
 
 
 def test_field_on_held_out_words():
-    field = pii.Field(pii.labelled_words())
+    field = pii.default_field()
     rows = {}
     for s, _, w, t in pii.labelled_words(seed=99, stretches=160):
         rows.setdefault(s, []).append((w, t))
