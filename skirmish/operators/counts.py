@@ -7,20 +7,26 @@ A player row is exploded by (each owned item and "any") x (each context and "any
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions.stats import add
+from skirmish.session import stage
 
 STRATA = range(4)
 KEYS = ["level", "bucket", "role", "hero", "ctx", "y"]
 SUMS = [f"{m}{s}" for s in STRATA for m in ("n", "w")] + ["games"]
 
 
-def count_teams(team_rows: DataFrame, rank_group: str | None = None) -> DataFrame:
-    """Sums per (level, bucket, role, hero, ctx, y); null ctx or y means "any"."""
+def count_teams(team_rows: DataFrame, rank_group: str | None = None, by_group: bool = False) -> DataFrame:
+    """Sums per (level, bucket, role, hero, ctx, y); null ctx or y means "any".
+
+    ``rank_group`` keeps the players of one group; ``by_group`` makes the group (null: none) one more key.
+    """
+    group = ["rank_group"] if by_group else []
     any_ctx = F.array(F.struct(F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("ctx")))
     players = team_rows.select(
         "bucket", "stratum", "wt", F.concat("ctxs", any_ctx).alias("ctxs"), F.explode("players").alias("p")
@@ -29,20 +35,30 @@ def count_teams(team_rows: DataFrame, rank_group: str | None = None) -> DataFram
         players = players.where(F.col("p.rank_group") == rank_group)
     owned = players.select(
         "bucket", "stratum", "wt", "ctxs",
-        F.col("p.role").alias("role"), F.col("p.hero").alias("hero"),
+        F.col("p.role").alias("role"), F.col("p.hero").alias("hero"), *[F.col(f"p.{g}").alias(g) for g in group],
         F.when(F.col("p.win"), F.col("wt")).otherwise(F.lit(0.0)).alias("ww"),
         F.explode(F.concat(F.col("p.ys"), F.array(F.lit(None).cast("int")))).alias("y"),
     )
     cells = owned.select(
-        F.explode("ctxs").alias("c"), "bucket", "role", "hero", "y", "stratum", "wt", "ww"
-    ).select(F.col("c.level").alias("level"), "bucket", "role", "hero", F.col("c.ctx").alias("ctx"), "y", "stratum", "wt", "ww")
+        F.explode("ctxs").alias("c"), "bucket", "role", "hero", "y", "stratum", "wt", "ww", *group
+    ).select(F.col("c.level").alias("level"), "bucket", "role", "hero", F.col("c.ctx").alias("ctx"), "y", "stratum", "wt", "ww", *group)
     zero = F.lit(0.0)
     sums = []
     for s in STRATA:
         here = F.col("stratum") == s
         sums.append(F.sum(F.when(here, F.col("wt")).otherwise(zero)).alias(f"n{s}"))
         sums.append(F.sum(F.when(here, F.col("ww")).otherwise(zero)).alias(f"w{s}"))
-    return cells.groupBy(*KEYS).agg(*sums, F.count("*").alias("games"))
+    return cells.groupBy(*KEYS, *group).agg(*sums, F.count("*").alias("games"))
+
+
+def group_counts(team_rows: DataFrame, groups: Sequence[str]) -> dict[str | None, DataFrame]:
+    """Staged sums of all games (``None``) and of each rank group, from one pass over the teams.
+
+    The pass keys its sums by the player's own group; all games are the sum over the groups and over players without
+    one, so no row is counted twice on the way and the second shuffle has the size of the key space.
+    """
+    parts = stage(count_teams(team_rows, by_group=True), "group_counts", ["rank_group"])
+    return {None: stage(merge(parts), "counts"), **{g: parts.where(F.col("rank_group") == g).select(*KEYS, *SUMS) for g in groups}}
 
 
 def merge(*parts: DataFrame) -> DataFrame:

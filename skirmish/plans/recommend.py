@@ -149,6 +149,28 @@ def recommendations(
     return finish(counts, comp, team_cnt, team_facts(ready.teams), model, cfg, tables)
 
 
+def group_recommendations(
+    matches: DataFrame,
+    model: ItemModel,
+    cfg: Config,
+    ranks: DataFrame | None = None,
+    tables: Sequence[str] = ALL_TABLES,
+) -> dict[str | None, Recommendations]:
+    """``recommendations`` of all games (``None``) and, where the configuration stores them, of each rank group.
+
+    The teams are prepared and counted once for all groups. Recipe parts, team items and facts are those of all games.
+    A group without games has empty tables.
+    """
+    ready = prepare_teams(matches, model, cfg, ranks)
+    groups = [g for g in group_names(cfg) if g is not None]
+    comp = settle_dim(hero_ops.component_share(ready.teams, model.parts))
+    team_cnt = hero_ops.team_counts(ready.teams)
+    if "ally" in tables or "team_items" in tables:
+        team_cnt = settle_dim(team_cnt)
+    facts = team_facts(ready.teams)
+    return {g: finish(c, comp, team_cnt, facts, model, cfg, tables) for g, c in cnt.group_counts(ready.teams, groups).items()}
+
+
 def team_facts(team_rows: DataFrame) -> DataFrame:
     """Dataset facts from the team table (no second pass over the raw rows)."""
     p = team_rows.select("match_id", "start_time", "bucket", "patch", F.explode("players").alias("p"))

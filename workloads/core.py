@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,6 +306,37 @@ def answers_enemy_hero(spark, d):
     return _one(spark, d, "hero")
 
 
+ALL_AND_GROUPS = ("all", *T.CFG.rank_groups)
+
+
+def _each_group(select, *parts) -> str:
+    """SQL: one block of CTEs for all games and for each rank group, over ``games_of``."""
+    blocks = []
+    for g in ALL_AND_GROUPS:
+        games_of = "games_of AS (SELECT * FROM pg" + ("" if g == "all" else f" WHERE rank_group = '{g}'") + ")"
+        blocks.append(f"SELECT '{g}' AS rank_group, * FROM (" + T.with_sql(games_of, *parts) + select + ")")
+    return T.with_sql(*BASE, SHARES) + " UNION ALL ".join(blocks)
+
+
+def _any_group(frames: dict) -> DataFrame:
+    named = [df.select(F.lit(g or "all").alias("rank_group"), "*") for g, df in frames.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+@query("rank_group_counts", _each_group(W.part_of_sums(True, True), W.sums("hero", games="games_of")).replace(SHARES, KEEP_ALL))
+def rank_group_counts(spark, d):
+    frames = cnt.group_counts(teams_of(spark, d, ("hero",)), list(T.CFG.rank_groups))
+    return _any_group({g: r6(cnt.long(cnt.gxy(c, "hero")), "n", "w", digits=5) for g, c in frames.items()})
+
+
+@query("rank_group_answers", _each_group(f"SELECT {ANSWER_COLS} FROM placed WHERE place <= 6", W.level("L2", "met_l2", games="games_of"), W.spread("met_l2"),
+       W.level("hero", "met_h", games="games_of"), W.shrunk("met_h", "s_h"), W.ranked("s_h", [("e", "s.ctx")])))
+def rank_group_answers(spark, d):
+    cfg = T.SOLO.with_(store_rank_groups=True)
+    recs = recommend.group_recommendations(T.matches(spark, d), T.item_model(spark, d), cfg, T.ranks(spark, d), ("hero",))
+    return _any_group({g: _answer_rows(r["hero"]) for g, r in recs.items()})
+
+
 @query("answers_class_enemy_hero", T.with_sql(*BASE, SHARES, CLASSES, W.level("L2", "met_l2"), W.spread("met_l2"), W.level("hero", "met_h", "cls"),
        W.shrunk("met_h", "s_h"), W.ranked("s_h", [("e", "s.ctx")])) + f"SELECT {ANSWER_COLS} FROM placed WHERE place <= 6")
 def answers_class_enemy_hero(spark, d):
