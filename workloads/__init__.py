@@ -3,7 +3,7 @@
 
 def load():
     """(queries, sql) of all workload modules."""
-    from workloads import core, desk, flow, recorded, serve  # noqa: F401
+    from workloads import core, desk, flow, logs, recorded, serve  # noqa: F401
     from workloads.registry import QUERIES, SQL
 
     return dict(QUERIES), dict(SQL)
