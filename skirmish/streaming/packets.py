@@ -83,7 +83,10 @@ def first_seen(events: DataFrame, keys: Sequence[str], time: str = "ts", delay:
 
 
 def detect_mode(states: DataFrame, match: str, clock: str, income: str, order: str, lo: int = 30, hi: int = 300, per_sec: float = 2.25) -> DataFrame:
-    """Mode of a match from its first packet in [lo, hi]: passive income per second."""
+    """Mode of a match from its first packet in [lo, hi]: passive income per second.
+
+    In a batch ``order`` may be a struct, so that packets of one second have an order too.
+    """
     usable = states.where(F.col(clock).between(lo, hi) & F.col(income).isNotNull())
     mode = F.when(F.col(income) / F.col(clock) > per_sec, "turbo").otherwise("normal")
     if states.isStreaming:
