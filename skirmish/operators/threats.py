@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.config import ThreatConfig
-from skirmish.functions.stats import expected_place
+from skirmish.functions.stats import expected_place, round_places
 
 
 def threat_profile(roles: DataFrame, late: DataFrame) -> DataFrame:
@@ -41,8 +41,11 @@ def rank_threats(asks: DataFrame, profile: DataFrame, matchups: DataFrame, cfg:
     return scored.withColumn("place", F.row_number().over(order))
 
 
-def cube_threats(asks: DataFrame, cube: DataFrame, farm: DataFrame, cfg: ThreatConfig) -> DataFrame:
-    """The same question from plain counts: farm place, late gain, my record, win rate."""
+def cube_threats(asks: DataFrame, cube: DataFrame, farm: DataFrame, cfg: ThreatConfig, digits: int = 2) -> DataFrame:
+    """The same question from plain counts: farm place, late gain, my record, win rate.
+
+    The score is rounded once, to ``digits`` places: rounding it again to fewer would carry a rounded five upwards.
+    """
 
     def wr(n: str, w: str):
         return F.when(F.col(n) > 0, F.col(w) * 100.0 / F.col(n))
@@ -63,7 +66,7 @@ def cube_threats(asks: DataFrame, cube: DataFrame, farm: DataFrame, cfg: ThreatC
     score = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     role = F.when(F.col("farm") <= cfg.carry_rank, "carry").when(F.col("farm") <= cfg.core_rank, "core").when(F.col("farm").isNotNull(), "support")
     reasons = F.array_compact(F.array(role, F.when(late >= cfg.late_notable, "late"), F.when(mine <= 50 - cfg.matchup_notable, "matchup")))
-    scored = j.select("request", "enemy", F.round(score, 2).alias("score"), F.concat_ws(",", reasons).alias("reasons"))
+    scored = j.select("request", "enemy", round_places(score, digits).alias("score"), F.concat_ws(",", reasons).alias("reasons"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy(F.col("score").desc(), "enemy")))
 
 

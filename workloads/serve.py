@@ -226,8 +226,8 @@ SELECT request, enemy, round(coalesce(3.0 * (3.0 - farm), 0) + coalesce(0.5 * la
   concat_ws(',', CASE WHEN farm <= 1.8 THEN 'carry' WHEN farm <= 2.8 THEN 'core' WHEN farm IS NOT NULL THEN 'support' END, CASE WHEN late >= 3.0 THEN 'late' END, CASE WHEN mine <= 47 THEN 'matchup' END) AS reasons FROM x""")
 def threat_ranking_counts(spark, d):
     q = asks(spark, d).select("request", "bucket", F.col("hero").alias("my_hero"), "enemy")
-    out = threats.cube_threats(q, stage(cube_of(spark, d), "cube"), farm_of(spark, d), T.THREAT)
-    return out.select("request", "enemy", F.round("score", 1).alias("score"), "reasons")
+    out = threats.cube_threats(q, stage(cube_of(spark, d), "cube"), farm_of(spark, d), T.THREAT, digits=1)
+    return out.select("request", "enemy", "score", "reasons")
 
 
 @query("catalogue_threats", """
