@@ -24,26 +24,28 @@ def count_cube(players: DataFrame) -> DataFrame:
     def entries(table: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(table).alias("t"), v.cast("string").alias("c")))
 
-    ctx = F.concat(entries("hero", F.col("enemies")), entries("trait", F.col("enemy_traits")), entries("item", F.col("enemy_items")))
-    none = F.array(F.struct(F.lit("none").alias("t"), F.lit("").alias("c")))
-    one = players.select("bucket", "hero", "win", "duration", "answers", F.explode(F.concat(none, ctx)).alias("x"))
-    one = one.select(
-        "bucket", "hero", "win", "duration", F.col("x.t").alias("t"), F.col("x.c").alias("ctx"),
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.transform("answers", lambda a: a.cast("string")))).alias("item"),
+    def entry(table: str, value: Column) -> Column:
+        return F.array(F.struct(F.lit(table).alias("t"), value.alias("c")))
+
+    ctx = F.concat(
+        entry("none", F.lit("")), entries("hero", F.col("enemies")), entries("trait", F.col("enemy_traits")), entries("item", F.col("enemy_items"))
+    )
+    kind = length_kind(F.col("duration"))
+    own = F.when(kind.isNotNull(), F.concat("ctx", entry("length", kind))).otherwise(F.col("ctx"))
+    wide = players.withColumn("ctx", ctx).select("bucket", "hero", "win", "answers", "ctx", own.alias("own"))
+    # Arrays are made once for a player; names and texts of items once for a cell.
+    one = wide.select("bucket", "hero", "win", "ctx", "own", F.explode(F.concat(F.array(F.lit(None).cast("int")), "answers")).alias("y"))
+    cells = one.select("bucket", "hero", "win", "y", F.explode(F.when(F.col("y").isNull(), F.col("own")).otherwise(F.col("ctx"))).alias("x"))
+    cells = cells.groupBy("bucket", "hero", F.col("x.t").alias("t"), F.col("x.c").alias("ctx"), "y").agg(
+        F.count("*").alias("games"), F.count_if("win").alias("wins")
     )
-    with_item = F.col("item").isNotNull()
+    with_item = F.col("y").isNotNull()
     name = (
-        F.when((F.col("t") == "none") & with_item, "base").when(F.col("t") == "none", "hero")
+        F.when((F.col("t") == "none") & with_item, "base").when(F.col("t") == "none", "hero").when(F.col("t") == "length", "length")
         .when(with_item, F.concat(F.lit("vs_"), "t"))
         .when(F.col("t") == "hero", "pair").otherwise(F.concat("t", F.lit("_games")))
     )
-    cells = one.select(name.alias("table"), "bucket", "hero", "ctx", F.coalesce("item", F.lit("")).alias("item"), "win")
-    kind = length_kind(F.col("duration"))
-    length = players.where(kind.isNotNull()).select(
-        F.lit("length").alias("table"), "bucket", "hero", kind.alias("ctx"), F.lit("").alias("item"), "win"
-    )
-    keys = ["table", "bucket", "hero", "ctx", "item"]
-    return cells.unionByName(length).groupBy(*keys).agg(F.count("*").alias("games"), F.count_if("win").alias("wins"))
+    return cells.select(name.alias("table"), "bucket", "hero", "ctx", F.coalesce(F.col("y").cast("string"), F.lit("")).alias("item"), "games", "wins")
 
 
 def farm(players: DataFrame) -> DataFrame:

@@ -53,7 +53,6 @@ def cube_players(spark, d, model=None):
     """Player rows for the cube: enemies, their traits and items, own answers, all distinct."""
     model = model or T.item_model(spark, d)
     full = prepare.teams(prepare.with_owned(prepare.player_games(T.matches(spark, d), T.CFG), model), ("hero", "L2"))
-    length = T.match_lines(spark, d).groupBy("match_id").agg(F.first("duration").alias("duration"))
     traits = {}
     for r in T.hero_traits(T.heroes(spark, d)).collect():
         traits.setdefault(r["hero"], []).append(r["mech"])
@@ -63,7 +62,7 @@ def cube_players(spark, d, model=None):
     rows = full.withColumns({"enemies": ctx("hero"), "enemy_items": ctx("L2")}).withColumn(
         "enemy_traits", F.array_distinct(F.flatten(F.transform("enemies", lambda e: F.coalesce(lookup[e], none))))
     )
-    return rows.select("match_id", "is_radiant", "bucket", "enemies", "enemy_items", "enemy_traits", F.explode("players").alias("p")).join(length, "match_id").select(
+    return rows.select("match_id", "is_radiant", "bucket", "duration", "enemies", "enemy_items", "enemy_traits", F.explode("players").alias("p")).select(
         "bucket", F.col("p.hero").alias("hero"), F.col("p.win").alias("win"), "duration", F.col("p.ys").alias("answers"), "enemies", "enemy_traits", "enemy_items",
         "match_id", "is_radiant",
     )
