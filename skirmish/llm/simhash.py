@@ -324,10 +324,13 @@ def block_pairs(rows: DataFrame, similarity: float, limit: int = 512) -> DataFra
     return met.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi").mapInPandas(link, "a long, b long").distinct()
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, stars: int = 3, radius: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies (the first), all columns as they are.
 
-    A link is a pair of texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; every
+    With a ``radius`` the classes of ``near_duplicates`` (SimHash, BK-trees, components) come first and are links as they
+    stand; the verified links below join what fingerprints are too far apart for, and pairs of one class are not asked again.
+
+    A verified link is a pair of texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; every
     link is verified on the whole texts. Rows of equal text (null is empty) go down to one first, by digest. Then texts
     that share a band of least hashes form a shard, for at 0.8 fingerprints often differ by ten bits, too many to cut
     them into blocks. Pairs are left unverified only where ``may_link`` proves that they are no link. In each of
@@ -361,12 +364,19 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFr
         found = components(links).join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
         return stage(found.select(F.col("node").alias("id"), "root", "degree"), "roots")
 
+    def joined(links: DataFrame) -> DataFrame:
+        return members.join(rooted(links), "id", "left").select("id", "n", "sketch", "shard", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
     @F.pandas_udf("boolean")
     def near(n: pd.Series, sketch: pd.Series, m: pd.Series, other: pd.Series) -> pd.Series:
         return pd.Series(may_link(n.to_numpy(), words_of(sketch), m.to_numpy(), words_of(other), similarity))
 
     now = members.withColumns({"root": F.col("id"), "degree": F.lit(0).cast("long")})
     links = tested = heads = None
+    if radius is not None:
+        classes = near_duplicates(texts.join(first, "id", "left_semi"), radius, id_column="id", text_column="own")
+        links = stage(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "links_of_classes")
+        now = joined(links)
     for n in range(stars):
         free = now if heads is None else now.join(heads.select("shard", F.col("head.id").alias("id")), ["shard", "id"], "left_anti")
         head = F.min_by(F.struct("id", "n", "sketch", "root"), F.struct(-F.col("degree"), "id")).alias("head")
@@ -380,7 +390,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFr
         links = found if links is None else links.unionByName(found)
         if not some:
             break
-        now = members.join(rooted(links), "id", "left").select("id", "n", "sketch", "shard", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        now = joined(links)
     rest = stage(block_pairs(now.drop("degree"), similarity).join(tested, ["a", "b"], "left_anti"), "candidates_rest")
     gone = components(links.unionByName(verified(rest, "rest"))).where("node <> root").select(F.col("node").alias("id"))
     kept = first.join(stage(gone, "copies"), "id", "left_anti").select(F.col("id").alias(mark))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skirmish.llm import decontaminate, licences, pii, quality, simhash, tool_calls, urls
 from skirmish.llm.packing import cutting_stock
 
@@ -126,6 +127,33 @@ def test_pairs_at_the_rule_are_never_ruled_out(spark):
     assert kept == set(range(0, 2 * len(far), 2))
 
 
+def test_near_copies_of_the_pipeline_follow_fingerprints_and_verified_links(spark):
+    rng, texts = random.Random(31), []
+    while len(texts) < 8:  # long repeats and different ends: fingerprints at most 3 bits apart, sets of five words half the same
+        body = words(rng, 40)
+        x, y = (" ".join([body] * 8) + " " + words(rng, 20) for _ in "xy")
+        if (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count() <= 3:
+            texts += [x, y]
+    texts += [f"{texts[1]} {words(rng, 12)}", *(words(rng, 400) for _ in range(6))]
+    texts += [f"{t} {words(rng, 90)}" for t in texts[-3:]] + [texts[0].upper(), None, ""]  # tails: bits far apart, sets just above 0.8
+
+    def linked(x, y, by_bits):
+        bits = (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count()
+        return simhash.jaccard(x, y) >= 0.8 or (by_bits and bits <= 3)
+
+    def least(by_bits):
+        root, own = list(range(len(texts))), [t or "" for t in texts]
+        for _ in texts:
+            for i, x in enumerate(own):
+                for j, y in enumerate(own[:i]):
+                    if root[i] != root[j] and linked(x, y, by_bits):
+                        root[i] = root[j] = min(root[i], root[j])
+        return set(root)
+
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs_of(spark, texts).coalesce(1), "").collect()}
+    assert kept == least(True) < least(False)
+
+
 def test_block_pairs_cut_a_hot_shard_without_loss(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 100, dtype=np.uint64)
