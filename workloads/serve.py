@@ -15,7 +15,7 @@ from skirmish.operators import heroes as hero_ops
 from skirmish.operators import hints, lift, profile, reports, tags, threats, timings, uplift, validate, wiki
 from skirmish.operators.rows import top_per_key
 from skirmish.plans import prepare, recommend
-from skirmish.session import settle_dim, small_table, stage
+from skirmish.session import settle_dim, size_shuffles, small_table, stage
 from skirmish.sources import keyed, slices
 from workloads import tables as T
 from workloads import tables2 as T2
@@ -501,9 +501,15 @@ def wiki_pages(spark, d):
     """One page per order: list lines that name parts by templates and brands by links."""
     l = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     p = T.read(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    j = l.join(p, l.l_partkey == p.p_partkey)
-    line = F.format_string("* {{I|%s|30px}} and [[%s|the brand]] stop it, unlike [[break]] or {{I|zzz}}", "p_name", "p_brand")
-    rows = j.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]).alias("lines"))
+    partitions = size_shuffles(spark, l.count())
+    j = l.join(p, l.l_partkey == p.p_partkey).repartition(partitions, "l_orderkey")  # a number, or small ones would be put together
+
+    def line(x):
+        text = F.format_string("* {{I|%s|30px}} and [[%s|the brand]] stop it, unlike [[break]] or {{I|zzz}}", x["p_name"], x["p_brand"])
+        return F.struct(x["l_linenumber"], text.alias("t"))
+
+    own = j.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "p_name", "p_brand")).alias("own"))
+    rows = own.select("l_orderkey", F.transform(F.sort_array(F.transform("own", line)), lambda x: x["t"]).alias("lines"))
     text = F.concat(F.lit("Intro\n==Good against==\n* none\n==Bad against...==\n{{Hero label|Axe}}\n===Items===\n"), F.array_join("lines", "\n"), F.lit("\n===Others===\n* {{H|Lion}}\n"))
     return rows.select(F.col("l_orderkey").alias("page"), text.alias("text"))
 
@@ -523,9 +529,15 @@ def page_counter_items(spark, d):
 SELECT item, count(*) AS mentions, count(DISTINCT page) AS pages FROM (SELECT page, name AS item FROM wl UNION ALL SELECT page, brand FROM wl
 UNION ALL SELECT page, 'break' FROM wl UNION ALL SELECT page, 'zzz' FROM wl) GROUP BY item""")
 def page_mentions(spark, d):
-    lines = wiki_pages(spark, d).select("page", F.explode(F.filter(F.split("text", "\n"), lambda x: x.contains("stop it"))).alias("t"))
-    per_page = lines.select("page", F.explode(tx.mentions(F.col("t"))).alias("item")).groupBy("item", "page").agg(F.count("*").alias("k"))
-    return per_page.groupBy("item").agg(F.sum("k").alias("mentions"), F.count("*").alias("pages"))
+    """Mentions of an item and the pages with it; a page is a row, so its items are made distinct there."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.contains("stop it"))
+    own = wiki_pages(spark, d).select(F.flatten(F.transform(lines, tx.mentions)).alias("own"))
+
+    def part(items, mentions, pages):
+        return F.transform(items, lambda x: F.struct(x.alias("item"), F.lit(mentions).alias("mentions"), F.lit(pages).alias("pages")))
+
+    rows = own.select(F.inline(F.concat(part(F.col("own"), 1, 0), part(F.array_distinct("own"), 0, 1))))
+    return rows.groupBy("item").agg(F.sum("mentions").alias("mentions"), F.sum("pages").alias("pages"))
 
 
 @query("page_plain_text", T.with_sql(PAGES) + """
