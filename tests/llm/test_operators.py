@@ -165,6 +165,41 @@ def test_block_pairs_cut_a_hot_shard_without_loss(spark):
     assert alike and alike <= got and all(i > j and i % 20 != j % 20 for i, j in got)
 
 
+def shuffled(spark, job):
+    """Bytes written to shuffles by ``job``."""
+    store, empty = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: store.stageList(empty, False, False, quantiles, empty)
+    last = max((s.stageId() for s in map(stages().apply, range(stages().size()))), default=-1)
+    got = job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    found = stages()
+    return got, sum(s.shuffleWriteBytes() for s in map(found.apply, range(found.size())) if s.stageId() > last)
+
+
+def test_keep_one_does_not_shuffle_texts_that_are_in_no_pair(spark):
+    rng, own = np.random.default_rng(8), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 2**60, 600)) for _ in range(300)]
+    texts += [f"{t} tail {i}" for i, t in enumerate(texts[:5])] + texts[7:9]
+    docs = docs_of(spark, texts).withColumns({"bits": F.col("doc_id"), "block": F.col("doc_id")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large to broadcast
+    try:
+        kept, moved = shuffled(spark, lambda: {r.doc_id for r in simhash.keep_one(docs, radius=3).collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert kept == set(range(300))
+    assert moved < sum(map(len, texts)) / 2
+
+
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_rows_among_bitmaps(spark, limit):
+    ids = [0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 1 << 33, (1 << 33) + 5, (3 << 33) + 32_768]
+    asked = spark.createDataFrame([(i,) for i in [*ids, 7]], "id long")
+    rows = spark.createDataFrame([(i + d, "x") for i in ids for d in (0, 1, 2, 32_768)], "id long, own string")
+    got = sorted(r.id for r in simhash.among(rows, simhash.bitmaps(asked, limit)).collect())
+    assert got == sorted(r.id for r in rows.collect() if r.id in ids)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r.root for r in simhash.components(edges).collect()} == {0}
