@@ -281,7 +281,7 @@ def may_link(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray
 
 
 def words_of(sketches: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1 if len(sketches) else 0)
 
 
 def block_pairs(rows: DataFrame, similarity: float, limit: int = 512) -> DataFrame:
@@ -317,7 +317,8 @@ def block_pairs(rows: DataFrame, similarity: float, limit: int = 512) -> DataFra
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             same = (rows[["shard", "lo", "hi"]] == rows[["shard", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
             tail = int(same.sum())  # the open block waits
-            yield solve(rows.iloc[: len(rows) - tail])
+            if tail < len(rows):
+                yield solve(rows.iloc[: len(rows) - tail])
             held = rows.iloc[len(rows) - tail :]
         if held is not None:
             yield solve(held)

@@ -165,6 +165,14 @@ def test_block_pairs_cut_a_hot_shard_without_loss(spark):
     assert alike and alike <= got and all(i > j and i % 20 != j % 20 for i, j in got)
 
 
+def test_block_pairs_of_one_block_alone_in_its_task(spark):
+    x = np.arange(100, dtype=np.uint64) << np.uint64(7)
+    rows = [(i, 100, bytearray(simhash.sketch_of(x).tobytes()), 7, i) for i in range(3)]
+    table = spark.createDataFrame(rows, "id long, n long, sketch binary, shard long, root long")
+    assert {(r.a, r.b) for r in simhash.block_pairs(table, 0.8).collect()} == {(1, 0), (2, 0), (2, 1)}
+    assert len(simhash.words_of([])) == 0
+
+
 def shuffled(spark, job):
     """Bytes written to shuffles by ``job``."""
     store, empty = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
