@@ -42,3 +42,9 @@ ANSWER = (
     "bucket string, role string, hero string, ctx string, place int, y int, score double, a_pp double, b_pp double, "
     "conf string, games double, rule string"
 )
+
+# Served rows of all tables with coded confidence and source; a folder per hero.
+SLICE = (
+    "table string, bucket string, role string, hero string, ctx string, place int, y int, score double, a_pp double, b_pp double, "
+    "games bigint, conf_code int, source_code int"
+)

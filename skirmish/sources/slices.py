@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skirmish.schemas import SLICE
 from skirmish.session import small_table
 
 # Positions are the codes of the stored rows.
@@ -30,13 +31,14 @@ def write_slices(tables: dict[str, DataFrame], path: str) -> None:
     ).partitionBy("hero").parquet(path)
 
 
-def read_slice(spark: SparkSession, path: str, hero: str) -> DataFrame:
-    """One hero's slice: only that folder is listed and read."""
-    return spark.read.parquet(path).where(F.col("hero") == hero)
+def read_slice(spark: SparkSession, path: str, hero: str, schema: str = SLICE) -> DataFrame:
+    """One hero's slice: only that folder is read."""
+    return read_all(spark, path, schema).where(F.col("hero") == hero)
 
 
-def read_all(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_all(spark: SparkSession, path: str, schema: str = SLICE) -> DataFrame:
+    """Every slice. Tables without a row leave no folder and no file, so the columns are named here."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def encode(rows: DataFrame, sources: Sequence[str]) -> DataFrame:
