@@ -35,3 +35,17 @@ def test_pages_are_dealt_by_rows_and_mentions_counted_inside_them(spark, monkeyp
         assert "keys=[item#" in (plan := counted._jdf.queryExecution().executedPlan().toString()) and ", page#" not in plan
     finally:
         size_shuffles(spark, 0)
+
+
+def test_long_tables_are_merged_and_not_broadcast(spark, monkeypatch):
+    """Packed keys look small as files; the hash table of millions of them is not."""
+    d = "/root/testdata/sf0.001"
+    ways = {name: lambda f=f: f(spark, d) for name, f in (("ranks", T.ranks), ("matches", T.matches))}
+    left = {name: sorted(map(tuple, way().select("match_id").collect())) for name, way in ways.items()}
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    for name, way in ways.items():
+        df = way()
+        assert sorted(map(tuple, df.select("match_id").collect())) == left[name]
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 1, name
+    newest = T.matches(spark, d).agg({"start_time": "max"})
+    assert "strategy=merge" in newest._jdf.queryExecution().optimizedPlan().toString()  # also where only keys of parts are read
